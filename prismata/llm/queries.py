@@ -22,6 +22,15 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents; models count folds 1 to 3 of the labelled rows, the curve is fitted on fold 4, fold 0 is held out."""
+    from . import toxicity
+
+    fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5))
+    scores = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold.between(1, 3), fold == 4)
+    return scores.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes an archive of all pages and reads it back."""
     from . import warc
@@ -32,6 +41,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("name").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without repeated strings of 200 bytes."""
+    from . import suffixes
+
+    return suffixes.repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans all documents for windows of all benchmark items."""
     from . import decontaminate
@@ -39,6 +55,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 5-word Jaccard similarity of 0.8."""
+    from . import jaccard
+
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts all documents' tokens through a cache that starts empty."""
     from . import token_counts
@@ -54,11 +77,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op6_decontaminate, op9_token_counts, op10_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op3_warc, op4_suffixes, op6_decontaminate, op7_jaccard, op9_token_counts, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_decontaminate": OP6_SQL, "op10_topk": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_topk": OP10_SQL}
 
 
 OP3_SQL = """
@@ -91,3 +114,14 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transf
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * m >= 80 * (p.n + q.n - m)),
+r AS (WITH RECURSIVE t AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT t.x, e.y FROM t JOIN e ON t.y = e.x) SELECT x, min(y) AS component_id FROM t GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id
+"""
