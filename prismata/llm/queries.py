@@ -31,6 +31,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated lines: line counts and the digest of the text that is left."""
+    from . import lines
+
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("line_n_lines").alias("n_lines"), F.col("line_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes an archive of all pages and reads it back."""
     from . import warc
@@ -77,7 +85,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_warc, op4_suffixes, op6_decontaminate, op7_jaccard, op9_token_counts, op10_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_lines, op3_warc, op4_suffixes, op6_decontaminate, op7_jaccard, op9_token_counts, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
