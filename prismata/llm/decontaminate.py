@@ -102,19 +102,33 @@ def _scan(shared, window: int):
     return run
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Hits of every document: counts, digest of the item ids, spans in the original bytes, the ids.
+def _dealt(docs: DataFrame, benchmark: DataFrame) -> list:
+    """Broadcast test items: one lot, or lots of at most AUTOMATON_BYTES.
 
     Test items are a reference table that does not grow with the corpus; its size is summed before it is sent, and above
-    AUTOMATON_BYTES it is dealt to automata of at most that size, which are sent one by one.
+    AUTOMATON_BYTES it is dealt to automata of about that size, which are sent one by one.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     items = common.columns(benchmark, item="item_id", text="text").filter(F.col("item").isNotNull()).select(F.col("item").cast("string"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // AUTOMATON_BYTES))
-    dealt: list[list[tuple[str, str | None]]] = []
-    for k in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        dealt.append([tuple(r) for r in own.collect()])
+    return [context.broadcast([tuple(r) for r in (items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)).collect()]) for k in range(parts)]
+
+
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Hits of every document: counts, digest of the item ids, spans in the original bytes, the ids."""
     rows = common.columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), "text")
-    return rows.mapInArrow(_scan([spark.sparkContext.broadcast(part) for part in dealt], window), SCHEMA)
+    return rows.mapInArrow(_scan(_dealt(docs, benchmark), window), SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """The rows without any hit, with all their columns."""
+    shared, at = _dealt(docs, benchmark), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanners = [Scanner(part.value, window) for part in shared]
+        for batch in batches:
+            clean = [not (t.is_valid and any(s.scan(t.as_buffer().to_pybytes())[1].any() for s in scanners)) for t in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

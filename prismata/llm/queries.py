@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,16 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans all documents as files of a tree: the source and language are directories, as are runs of 64 ids."""
+    from . import licenses
+
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.lit(""), "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string"))
+    out = licenses.scan_licenses(docs.select(path.alias("path"), "text"))
+    return out.withColumn("doc_id", F.substring_index("path", "/", -1).cast("long")).drop("path")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans all documents for windows of all benchmark items."""
     from . import decontaminate
@@ -70,6 +81,13 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all documents, decodes them again, and returns digests of the ids."""
+    from . import pieces
+
+    return pieces.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(PIECES), ids_too=False)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts all documents' tokens through a cache that starts empty."""
     from . import token_counts
@@ -84,12 +102,44 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_lines, op3_warc, op4_suffixes, op6_decontaminate, op7_jaccard, op9_token_counts, op10_topk)}
+    own = (op1_toxicity, op2_lines, op3_warc, op4_suffixes, op5_licenses, op6_decontaminate, op7_jaccard, op8_pieces, op9_token_counts, op10_topk, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_topk": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op5_licenses": op5_sql(), "op6_decontaminate": OP6_SQL, "op7_jaccard": OP7_SQL, "op10_topk": OP10_SQL}
+
+
+def op5_sql() -> str:
+    """The scan in SQL; the templates' weights are constants."""
+    from . import licenses
+
+    idf, rows, other = licenses.weights()
+    w = ", ".join(f"('{t}', '{x}', {d!r})" for t, x, d in rows)
+    i = ", ".join(f"('{x}', {d!r})" for x, d in idf.items())
+    stop = ", ".join(f"'{x}'" for x in licenses.STOP)
+    return rf"""
+WITH w(template, word, dot) AS (VALUES {w}), i(word, idf) AS (VALUES {i}),
+f AS (SELECT doc_id, '/' || source || '/' || lang || '/' || CAST(doc_id // 64 AS VARCHAR) AS dir, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+u AS (SELECT doc_id, u, t FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS t, unnest(range(0, len(string_split(low, chr(10))))) AS u FROM f) UNION ALL SELECT doc_id, -1, low FROM f),
+x AS (SELECT doc_id, u, word, count(*) AS tf FROM (SELECT doc_id, u, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS word FROM u) WHERE word NOT IN ({stop}) GROUP BY ALL),
+s AS (SELECT doc_id, u, sqrt(sum(pow(tf * coalesce(idf, {other!r}), 2))) AS size FROM x LEFT JOIN i USING (word) GROUP BY ALL),
+d AS (SELECT doc_id, u, template, round(sum(tf * dot) / any_value(size), 6) AS score FROM x JOIN w USING (word) JOIN s USING (doc_id, u) GROUP BY doc_id, u, template),
+o AS (SELECT doc_id, count(DISTINCT CASE WHEN u >= 0 THEN u END) AS n_units, arg_min(template, struct_pack(s := -score, t := template)) AS own_license, max(score) AS own_score, bool_or(u = -1) AS is_license_file FROM d WHERE score >= {licenses.THRESHOLD} GROUP BY doc_id),
+l AS (SELECT dir AS from_dir, arg_min(own_license, struct_pack(s := -own_score, t := own_license)) AS dir_license FROM o JOIN f USING (doc_id) WHERE is_license_file GROUP BY dir),
+a AS (SELECT dir, k, array_to_string(list_slice(string_split(dir, '/'), 1, k), '/') AS from_dir FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM f))),
+n AS (SELECT dir, arg_max(from_dir, k) AS from_dir, arg_max(dir_license, k) AS dir_license FROM a JOIN l USING (from_dir) GROUP BY dir)
+SELECT f.doc_id, coalesce(n_units, 0) AS n_units, own_license, own_score, coalesce(is_license_file, false) AS is_license_file, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL THEN n.from_dir END AS from_dir
+FROM f LEFT JOIN o USING (doc_id) LEFT JOIN n USING (dir)
+"""
 
 
 OP3_SQL = """
