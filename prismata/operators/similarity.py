@@ -140,3 +140,76 @@ def distance_expression(name: str) -> Callable[[Column, Column], Column]:
     if name not in known:
         raise ValueError(f"unknown metric {name!r}; known: {', '.join(known)}")
     return known[name]
+
+
+# -- approximate joins ---------------------------------------------------------------------------------------------
+
+#: Rows that centres of cells are fitted on; all rows are indexed.
+SAMPLE = 50_000
+
+
+def ivf_knn(df: DataFrame, k: int, cells: int | None = None, nprobe: int = 8, seed: int = 0) -> DataFrame:
+    """(src, rank, dst, dist) from an inverted file: k-means cells fitted on a bounded sample, every row in its nearest cell, each row asks its nprobe nearest cells.
+
+    Candidates come from joins on the cell and are ranked by exact distance; recall grows with nprobe and is 1 at nprobe = cells.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from ..functions import vectors as V
+
+    rows = df.select(F.col("id").cast("long").alias("id"), V.normalise(F.col("vec")).alias("vec")).filter(V.inner_product(F.col("vec"), F.col("vec")) > 0)
+    n = rows.count()
+    cells = cells or max(1, min(4096, int(8 * n**0.5) // 8))
+    sample = rows.sample(min(1.0, SAMPLE / max(1, n)), seed).select(array_to_vector("vec").alias("features"))
+    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(sample).clusterCenters())
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            far = (c * c).sum(1)[None] - 2 * x @ c.T
+            near = np.argsort(far, axis=1, kind="stable")[:, : min(nprobe, len(c))].astype(np.int32)
+            ends = np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))], ["id", "vec", "cells"])
+
+    probed = rows.mapInArrow(probe, "id long, vec array<double>, cells array<int>")
+    index = probed.select(F.col("id").alias("dst"), F.col("vec").alias("y"), F.col("cells")[0].alias("cell"))
+    asks = probed.select(F.col("id").alias("src"), F.col("vec").alias("x"), F.explode("cells").alias("cell"))
+    found = asks.join(index, "cell").filter("src <> dst").select("src", "dst", (1 - V.inner_product(F.col("x"), F.col("y"))).alias("dist"))
+    order = Window.partitionBy("src").orderBy(F.round("dist", 12), "dst")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("src", "rank", "dst", "dist")
+
+
+def lsh_join(df: DataFrame, t: float, bucket: float = 1.0, tables: int = 8, seed: int = 0) -> DataFrame:
+    """(src, dst, dist): most pairs src < dst within cosine distance t, by random projections of unit vectors."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from ..functions import vectors as V
+
+    rows = df.select(F.col("id").cast("long").alias("id"), array_to_vector(V.normalise(F.col("vec"))).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
+    # On unit vectors the squared euclidean distance is twice the cosine distance.
+    near = model.approxSimilarityJoin(rows, rows, (2 * t) ** 0.5 * (1 + 1e-9), "e").filter("datasetA.id < datasetB.id")
+    return near.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), (F.col("e") * F.col("e") / 2).alias("dist")).filter(F.col("dist") <= t)
+
+
+def template_means(df: DataFrame, most: int = 32, seed: int = 0) -> DataFrame:
+    """(track, vec): the mean vector of at most `most` rows of a track, taken in hashed order; df: track, id, vec."""
+    chosen = df.withColumn("r", F.row_number().over(Window.partitionBy("track").orderBy(F.xxhash64("id", F.lit(seed)), "id"))).filter(F.col("r") <= most)
+    return centroids(chosen, "track").select(F.col("label").alias("track"), "vec")
+
+
+def two_hop(edges: DataFrame, k1: int, k2: int) -> DataFrame:
+    """(centre, node): the k1 nearest of a centre, the k2 nearest of those, and the centre; edges: src, rank, dst."""
+    first = edges.filter(F.col("rank") <= k1).select(F.col("src").alias("centre"), F.col("dst").alias("node"))
+    second = first.join(edges.filter(F.col("rank") <= k2).select(F.col("src").alias("node"), "dst"), "node").select("centre", F.col("dst").alias("node"))
+    return first.unionByName(second).unionByName(edges.select(F.col("src").alias("centre"), F.col("src").alias("node"))).distinct()
+
+
+def sub_graph(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges within a set of ids, numbered 0, 1, ... in id order."""
+    numbered = ids.select("id").distinct().withColumn("n", F.row_number().over(Window.orderBy("id")) - 1)
+    return edges.join(numbered.toDF("src", "a"), "src").join(numbered.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])

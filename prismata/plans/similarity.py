@@ -317,3 +317,24 @@ def spectral(spark, sf_dir):
 @query()
 def whispers(spark, sf_dir):
     return C.cluster(_emb(spark, sf_dir), "chinese_whispers", t=T, rounds=10)
+
+
+@query()
+def ivf_knn(spark, sf_dir):
+    return S.ivf_knn(_emb(spark, sf_dir), K, cells=16, nprobe=12)
+
+
+@query()
+def lsh_join(spark, sf_dir):
+    return S.lsh_join(_emb(spark, sf_dir), T)
+
+
+@query(f"WITH {N}, a AS (SELECT src AS centre, dst AS node FROM k WHERE rank <= 5), b AS (SELECT a.centre, k.dst AS node FROM a JOIN k ON k.src = a.node WHERE k.rank <= 2) SELECT centre, node FROM a UNION SELECT centre, node FROM b UNION SELECT src, src FROM k")
+def two_hop(spark, sf_dir):
+    return S.two_hop(_knn(spark, sf_dir), 5, 2)
+
+
+@query(f"WITH {N}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM e WHERE id % 3 = 0) SELECT CAST(a.n AS INTEGER) AS src, CAST(b.n AS INTEGER) AS dst, round(dist, 6) AS dist FROM k JOIN n a ON a.id = k.src JOIN n b ON b.id = k.dst")
+def sub_graph(spark, sf_dir):
+    ids = _emb(spark, sf_dir).select("id").filter("id % 3 = 0")
+    return S.sub_graph(_knn(spark, sf_dir).select("src", "dst", F.round("dist", 6).alias("dist")), ids)

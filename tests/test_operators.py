@@ -138,6 +138,22 @@ def test_nms_is_greedy(spark):
     assert {r.node: r.proposal_id for r in C.nms(m, s, 0.2).collect()} == want
 
 
+def test_approximate_joins_recall(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    exact = {(r.src, r.dst) for r in S.knn_join(df, 10).collect()}
+    assert len(exact & {(r.src, r.dst) for r in S.ivf_knn(df, 10, cells=16, nprobe=12).collect()}) >= 0.9 * len(exact)
+    assert exact == {(r.src, r.dst) for r in S.ivf_knn(df, 10, cells=16, nprobe=16).collect()}
+    near = {(r.src, r.dst) for r in S.threshold_join(df, 0.65).collect()}
+    got = {(r.src, r.dst) for r in S.lsh_join(df, 0.65).collect()}
+    assert got <= near and len(got) >= 0.9 * len(near)
+
+
+def test_template_means(spark):
+    _, df = vectors(spark)
+    out = S.template_means(df.select(F.col("label").alias("track"), "id", "vec"), 3).collect()
+    assert len(out) == 4 and all(len(r.vec) == 8 for r in out)
+
+
 def test_metrics_extremes(spark):
     same = spark.createDataFrame([(i, i % 3, i % 3) for i in range(12)], "id long, y_true int, y_pred int")
     r = M.report(same).first()
