@@ -32,6 +32,8 @@ from . import common
 SEGMENT_BYTES = 16 << 20
 LEAST_BYTES = 100
 VERSION = b"WARC/1."
+# Record types of the format.
+KINDS = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 RECORDS = "path string, start long, end long, kind string, name string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 GAPS = "path string, start long, end long, reason string"
 
@@ -135,6 +137,8 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     start, end = head_end + 4, head_end + 4 + length
     if length < 0 or len(raw) < end + 4 or raw[end : end + 4] != b"\r\n\r\n":
         return None, at, "block not ended"
+    if fields.get("warc-type") not in KINDS or not fields.get("warc-record-id"):
+        return None, at, "header damaged"
     block = raw[start:end]
     want = fields.get("warc-block-digest", "")
     if want.startswith("sha1:") and hashlib.sha1(block).hexdigest() != want[5:].lower():
