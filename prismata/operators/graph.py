@@ -16,26 +16,29 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Each undirected edge in both directions, once, without self-loops."""
-    pairs = edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
-    return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex with an edge to another; the component is its smallest id.
 
-    Each round takes the smallest label around a vertex and then the label of that label, so that paths shorten by about
-    half. Sums are made map-side before a vertex's rows meet, which keeps hubs cheap. Each round is cut by a checkpoint.
+    Each round sends every vertex to the first of itself and its neighbours, and from there once more, and draws the edges
+    anew between where their ends went; what is left is smaller, and nothing is left of stars around their smallest id after
+    one round. Odd rounds order vertices by hash, so that long paths lose a share of their vertices as well. Sums are made
+    map-side before a vertex's rows meet, which keeps hubs cheap; each round is cut by checkpoints.
     """
-    links = _cut(both_ways(edges))
-    labels = _cut(links.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("component")))
-    for _ in range(max_rounds):
-        around = links.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("near")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("near").alias("near"))
-        lower = labels.join(around, "id").select("id", "component", F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("further"))
-        new = _cut(lower.join(jump, "low", "left").select("id", F.coalesce(F.least("low", "further"), "low").alias("next"), (F.coalesce(F.least("low", "further"), "low") != F.col("component")).alias("moved")))
-        labels = new.select("id", F.col("next").alias("component"))
-        if new.filter("moved").isEmpty():
-            return labels
+    left = _cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
+    labels: DataFrame | None = None
+    for turn in range(max_rounds):
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+        def rank(c: str, by_hash: bool = turn % 2 == 1, seed: int = turn):
+            return F.struct((F.xxhash64(c, F.lit(seed)) if by_hash else F.col(c)).alias("h"), F.col(c).alias("v"))
+
+        first = both.groupBy(F.col("src").alias("id")).agg(F.min(rank("dst")).alias("near")).select("id", F.least("near", rank("id"))["v"].alias("to"))
+        moved = _cut(first.join(first.toDF("to", "further"), "to").select("id", F.col("further").alias("to")))
+        labels = moved if labels is None else _cut(labels.withColumnRenamed("to", "at").join(moved.toDF("at", "to"), "at", "left").select("id", F.coalesce("to", "at").alias("to")))
+        ends = left.join(moved.toDF("src", "a"), "src").join(moved.toDF("dst", "b"), "dst").filter("a <> b")
+        left = _cut(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        if left.isEmpty():
+            if turn == 0:  # only smallest ids were followed
+                return labels.withColumnRenamed("to", "component")
+            return labels.join(labels.groupBy("to").agg(F.min("id").alias("component")), "to").select("id", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
