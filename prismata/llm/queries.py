@@ -33,11 +33,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without repeated lines: line counts and the digest of the text that is left."""
+    """All documents without repeated lines: how many went, and the digest of the text that is left."""
     from . import lines
 
     out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("line_n_lines").alias("n_lines"), F.col("line_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("line_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
