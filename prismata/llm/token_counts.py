@@ -112,5 +112,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
         misses = misses.join(known, "digest", "left_anti")
     fresh = misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Cut, so that the join reads plain exchanges on both sides and adaptive execution can split a hot digest.
+    counts = common.cut(spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     return keyed.drop("text").join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
