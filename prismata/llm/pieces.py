@@ -33,9 +33,12 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Words that a worker remembers, and characters of words that a batch advances at once.
-REMEMBERED = 1 << 19
+#: Words that a worker remembers twice over, characters of words that a batch advances at once, and bits of the table of pairs.
+REMEMBERED = 1 << 18
 AT_ONCE = 1 << 21
+PAIR_BITS = 21
+#: Bits of the filter before the sorted pieces are probed.
+FILTER_BITS = 20
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _POINTS = common._RNG.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,13 +62,31 @@ class Pieces:
         keys = np.array([self._hash(p) for p in self.own], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.fromiter(self.own.values(), np.int64)[order]
+        self._ready()
         self.text = [model.id_to_piece(i) for i in range(n)]
         by_byte = {i: b for b, i in self.bytes_at.items()}
         self.raw = [bytes([by_byte[i]]) if i in by_byte else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else self.text[i].replace(MARK, " ").encode() for i in range(n)]
-        self.pairs, self.fit = np.zeros(0, np.int64), np.zeros(0, np.bool_)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.borders: dict[tuple[int, bool], list[tuple[str, float]]] = {}
 
+    def _ready(self) -> None:
+        """Tables beside the sorted keys: a filter of their leading bits, and a direct-mapped memory of compatible pairs."""
+        self.maybe = np.zeros(1 << FILTER_BITS, np.bool_)
+        self.maybe[self.keys >> np.uint64(64 - FILTER_BITS)] = True
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.fit = np.zeros(1 << PAIR_BITS, np.bool_)
+
+    def _probe(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 where none has."""
+        out = np.full(hashes.shape, -1, np.int64)
+        ask = np.nonzero(self.maybe[hashes >> np.uint64(64 - FILTER_BITS)])
+        h = hashes[ask]
+        at = np.searchsorted(self.keys, h)
+        at[at == len(self.keys)] = 0
+        out[ask] = np.where(self.keys[at] == h, self.ids[at], -1)
+        return out
+
     @staticmethod
     def _points(words: list[str]) -> np.ndarray:
         return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
@@ -121,24 +142,29 @@ class Pieces:
         return held
 
     def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Which candidates are compatible; -1 before is a word's start, -2 a character without a piece."""
+        """Which candidates are compatible; -1 before is a word's start, under -1 is a character without a piece."""
         out = (before < 0) | (piece < 0)
         ask = np.flatnonzero(~out)
-        if len(ask):
-            pair = before[ask] << 20 | piece[ask]
-            at = np.searchsorted(self.pairs, pair)
-            at[at == len(self.pairs)] = 0
-            new = np.unique(pair[self.pairs[at] != pair]) if len(self.pairs) else np.unique(pair)
-            if len(new):
-                fit = np.array([self._compatible(int(p) >> 20, int(p) & 0xFFFFF) for p in new])
-                into = np.searchsorted(self.pairs, new)
-                self.pairs, self.fit = np.insert(self.pairs, into, new), np.insert(self.fit, into, fit)
-                at = np.searchsorted(self.pairs, pair)
-            out[ask] = self.fit[at]
+        pair = before[ask] << 20 | piece[ask]
+        slot = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        hit = self.pairs[slot] == pair
+        out[ask] = self.fit[slot] & hit
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            new, back = np.unique(pair[miss], return_inverse=True)
+            fit = np.array([self._compatible(int(p) >> 20, int(p) & 0xFFFFF) for p in new])
+            out[ask[miss]] = fit[back]
+            self.pairs[slot[miss]] = pair[miss]
+            self.fit[slot[miss]] = self._of(self.pairs[slot[miss]], new, fit)
         return out
 
-    def _equal_length(self, words: list[str]) -> list[list[int]]:
-        """Piece ids (-2 - code point where a character has none) of words of one length."""
+    @staticmethod
+    def _of(pairs: np.ndarray, new: np.ndarray, fit: np.ndarray) -> np.ndarray:
+        """What was just found for pairs; two that share a slot leave the later one there."""
+        return fit[np.searchsorted(new, pairs)]
+
+    def _equal_length(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of one length: a row of piece ids each (-2 - code point where a character has none), flush right, and how many."""
         points = self._points(words)
         n, size = points.shape
         prefix = self._prefix(points)
@@ -150,32 +176,25 @@ class Pieces:
         rows = np.arange(n)
         for i in range(1, size + 1):
             lengths = np.arange(1, min(self.longest, i) + 1)
-            h = common.mixed((prefix[:, i : i + 1] - prefix[:, i - lengths]) * inverse[i - lengths][None])
-            at = np.searchsorted(self.keys, h)
-            at[at == len(self.keys)] = 0
-            piece = np.where(self.keys[at] == h, self.ids[at], -1)
-            have = piece >= 0
-            have[:, 0] = True  # a character alone is always a candidate
+            piece = self._probe(common.mixed((prefix[:, i : i + 1] - prefix[:, i - lengths]) * inverse[i - lengths][None]))
             one = piece[:, 0] < 0
-            piece[one, 0] = -2 - points[one, i - 1].astype(np.int64)
+            piece[one, 0] = -2 - points[one, i - 1].astype(np.int64)  # a character alone is always a candidate
             value = np.full(piece.shape, -np.inf)
-            w, c = np.nonzero(have)
+            w, c = np.nonzero(piece != -1)
+            p, at = piece[w, c], i - 1 - c
             if self.bpe:
-                ok = self._fits(last[w, i - lengths[c]], piece[w, c]) & (best[w, i - lengths[c]] > -np.inf)
-                value[w[ok], c[ok]] = lengths[c[ok]]
+                ok = self._fits(last[w, at], p)
+                value[w[ok], c[ok]] = c[ok]
             else:
-                p = piece[w, c]
-                value[w, c] = best[w, i - lengths[c]] + np.where(p >= 0, self.score[np.maximum(p, 0)], self.score.min() - 10)
+                value[w, c] = best[w, at] + np.where(p >= 0, self.score[np.maximum(p, 0)], self.score.min() - 10)
             k = value.argmax(1)
-            best[:, i], last[:, i], back[:, i] = (np.where(value[rows, k] > -np.inf, 0.0, -np.inf) if self.bpe else value[rows, k]), piece[rows, k], lengths[k]
-        out = []
-        for r in range(n):
-            ids, i = [], size
-            while i:
-                ids.append(int(last[r, i]))
-                i -= int(back[r, i])
-            out.append(ids[::-1])
-        return out
+            best[:, i], last[:, i], back[:, i] = value[rows, k], piece[rows, k], k + 1
+        ids, at, used = np.zeros((n, size), np.int64), np.full(n, size), np.zeros(n, np.int64)
+        while (go := np.flatnonzero(at > 0)).size:
+            used[go] += 1
+            ids[go, size - used[go]] = last[go, at[go]]
+            at[go] -= back[go, at[go]]
+        return ids, used
 
     def _learn(self, words: set[str]) -> None:
         """Encodes words and remembers them as little-endian 32-bit ids."""
@@ -186,26 +205,38 @@ class Pieces:
             step = max(1, AT_ONCE // size // self.longest)
             for at in range(0, len(same), step):
                 part = same[at : at + step]
-                for w, ids in zip(part, self._equal_length(part), strict=True):
-                    flat: list[int] = []
-                    for k in ids:
-                        if k >= 0:
-                            flat.append(k)
-                        elif self.bytes_at:
-                            flat += [self.bytes_at[b] for b in chr(-2 - k).encode("utf-8", "surrogatepass")]
-                        elif not flat or flat[-1] != self.unknown:
-                            flat.append(self.unknown)
-                    self.known[w] = np.array(flat, "<i4").tobytes()
+                ids, used = self._equal_length(part)
+                small, width, total = ids.astype("<i4").tobytes(), 4 * size, 0
+                for w, n in zip(part, used.tolist(), strict=True):
+                    total += width
+                    self.known[w] = small[total - 4 * n : total]
+                for r in np.flatnonzero((ids < -1).any(1)).tolist():
+                    self.known[part[r]] = self._spelled(ids[r, size - used[r] :].tolist())
+
+    def _spelled(self, ids: list[int]) -> bytes:
+        """Ids with characters that have no piece as byte pieces, or as the unknown id once a run."""
+        flat: list[int] = []
+        for k in ids:
+            if k >= 0:
+                flat.append(k)
+            elif self.bytes_at:
+                flat += [self.bytes_at[b] for b in chr(-2 - k).encode("utf-8", "surrogatepass")]
+            elif not flat or flat[-1] != self.unknown:
+                flat.append(self.unknown)
+        return np.array(flat, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without begin and end."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # words that come up again are taken over, the rest is forgotten
+            self.known, self.older = {}, self.known
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
+        known, older = self.known, self.older
+        new = {w for words in split for w in words if w not in known}
+        for w in [w for w in new if w in older]:
+            known[w] = older[w]
+            new.discard(w)
         if new:
             self._learn(new)
-        known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]), "<i4") for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
