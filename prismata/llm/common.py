@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -46,9 +47,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of frames that are no longer referenced, and waits a moment for it."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a frame that `stored` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/prismata/" in name:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def across(entries: DataFrame, key: str, group: str) -> tuple[int, float]:
+    """How many entries there are, and how many pairs of them share a key but not a group."""
+    counts = entries.groupBy(key, group).agg(F.count("*").cast("double").alias("m")).groupBy(key).agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    n, pairs = counts.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
+    return int(n or 0), float(pairs or 0)
 
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:

@@ -42,7 +42,8 @@ SAMPLE_EVERY = 64
 SAMPLE_LEAST = 4000
 FREQUENT = 3
 FREQUENT_MOST = 1 << 18
-#: Lists are exhausted once they promise this many pairs an entry, or after LEADER_ROUNDS.
+#: Lists are exhausted once their entries stand in lists of this many on average, or after LEADER_ROUNDS. Every distinct pair
+#: moves a text to its verification, so long lists go through leader rounds first.
 PAIRS_AN_ENTRY = 20
 LEADER_ROUNDS = 6
 
@@ -157,6 +158,9 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     # One representative of equal sets, taken map-side first.
     best = wide.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "mins", "prefix")).alias("r"))
     reps = common.stored(best.select("r.*", "d1", "d2"), "jaccard-classes")
+    members = common.stored(wide.select("id", "n", "d1", "d2"), "jaccard-members")
+    del best
+    common.discard(wide)
     common.release(spark)
 
     comp: DataFrame | None = None  # (id, component) of linked representatives
@@ -184,6 +188,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
         open_lists = grouped.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 < c1").select("s", "m")
         entries = common.stored(grouped.join(open_lists, "s"), "jaccard-open")
         common.release(spark)
+        del grouped, open_lists
         rows_open, promised = entries.agg(F.count("*"), F.sum(F.col("m").cast("double"))).first()
         if not rows_open:
             break
@@ -199,11 +204,22 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
         possible = pairs.filter(_fits(F.col("nx"), F.col("ny"), percent) & (rest * (100 + percent) >= need))
         todo = possible.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
         todo = common.cut(todo.join(failed, ["a", "b"], "left_anti"))
+        del pairs, possible
+        common.release(spark)
         if not todo.isEmpty():
             judged(todo)
         if last:
             break
 
     classes = reps.select("d1", "d2", "id").join(comp, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    out = wide.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    out = members.join(classes, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")).withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, the one with the smallest id; rows without an id stay. Rows alike in id and text count as one."""
+    found = jaccard_components(docs, k, percent, id_col, text_col)
+    keep = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
+    marked = docs.withColumn("__text", F.xxhash64(F.col(f"`{text_col}`")))
+    kept = marked.filter(F.col(f"`{id_col}`").isNotNull()).join(keep, F.col(f"`{id_col}`") == F.col("__keep"), "left_semi").dropDuplicates([id_col, "__text"])
+    return kept.unionByName(marked.filter(F.col(f"`{id_col}`").isNull())).drop("__text")
