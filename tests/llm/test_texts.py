@@ -348,3 +348,24 @@ def test_word_spans_keep_to_texts():
 
 def test_schema_is_stable():
     assert SCHEMA.startswith("doc_id")
+
+
+def test_lines_with_changed_words_and_letters_are_found(spark):
+    """Copies whose edit similarity is at least 0.8 go, however many SimHash bits differ."""
+    import random
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pairs = []
+    for n in (1, 2, 3, 6, 10, 20, 40):
+        for seed in range(20):
+            r = random.Random(1000 * n + seed)
+            words = ["".join(r.choice(letters) for _ in range(r.randint(4, 8))) for _ in range(n)]
+            other = list(words)
+            at = r.randrange(n)
+            other[at] = "".join(r.choice(letters) for _ in words[at]) if n >= 6 else words[at][:-1] + ("q" if words[at][-1] != "q" else "z")
+            pairs.append((" ".join(words), " ".join(other)))
+    limits = spark.createDataFrame(pairs, "x string, y string").selectExpr("x", "y", "5 * levenshtein(x, y) <= greatest(length(x), length(y)) AS same").collect()
+    similar = [(r.x, r.y) for r in limits if r.same]
+    docs = spark.createDataFrame([(i, f"{x}\n{y}") for i, (x, y) in enumerate(similar)], "doc_id long, text string")
+    found = [r.line_n_removed >= 1 for r in lines.dedup_lines(docs).collect()]
+    assert len(found) > 100 and sum(found) >= 0.95 * len(found)
