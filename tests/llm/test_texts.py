@@ -369,3 +369,14 @@ def test_lines_with_changed_words_and_letters_are_found(spark):
     docs = spark.createDataFrame([(i, f"{x}\n{y}") for i, (x, y) in enumerate(similar)], "doc_id long, text string")
     found = [r.line_n_removed >= 1 for r in lines.dedup_lines(docs).collect()]
     assert len(found) > 100 and sum(found) >= 0.95 * len(found)
+
+
+def test_long_lines_are_judged_whole(spark):
+    """A word inserted near the start leaves a copy; a shared passage does not make one."""
+    long = [prose(900 + i, 400) for i in range(3)]
+    copies = [" ".join([*x.split()[:3], "inserted", *x.split()[3:]]) for x in long]
+    other = " ".join([*prose(950, 300).split(), *long[0].split()[:100]])
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*long, *copies, other])], "doc_id long, text string")
+    left = {r.doc_id: (r.text, r.line_n_removed) for r in lines.dedup_lines(docs).collect()}
+    assert [left[i] for i in range(3)] == [(x, 0) for x in long]
+    assert [left[3 + i] for i in range(3)] == [("", 1)] * 3 and left[6] == (other, 0)
