@@ -178,6 +178,14 @@ def connected_components(spark, sf_dir):
     return C.with_singletons(l.select(F.col("l_partkey").alias("id")).distinct(), components(edges))
 
 
+@query()
+def connected_components_t(spark, sf_dir):
+    """Parts that occur in one order, over all orders and parts; without SQL, whose recursion would walk the whole graph from every part."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src")).filter(F.col("src").isNotNull())
+    hub = l.filter(F.col("l_orderkey").isNotNull()).groupBy("l_orderkey").agg(F.min("src").alias("dst"))
+    return C.with_singletons(l.select(F.col("src").alias("id")).distinct(), components(l.join(hub, "l_orderkey").select("src", "dst")))
+
+
 _CONF = f"{N}, f AS (SELECT src AS id, avg(1 - dist) AS c FROM k GROUP BY src), q AS (SELECT src, dst, dist FROM (SELECT k.src, k.dst, k.dist, row_number() OVER (PARTITION BY k.src ORDER BY k.rank) AS r FROM k JOIN f a ON a.id = k.src JOIN f b ON b.id = k.dst WHERE round(b.c, 9) >= round(a.c, 9) - 1e-4) WHERE r <= 1)"
 
 
