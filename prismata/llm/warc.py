@@ -4,10 +4,12 @@ Archives are gzip files with one member a record (WARC/1.1, response and revisit
 `segment_bytes` and write each under a temporary name that is renamed when complete; the list of files that committed
 tasks wrote is itself a table, so files of lost or repeated attempts are never read.
 
-The reader trusts nothing: a member must inflate with a right CRC, start with a version line, carry a Content-Length that
-fits, end in an empty line, and hold a block that matches its digests. When a check fails, it searches for the next byte
-position where a valid member (or, in plain archives, a version line) begins, goes on there, and logs the bytes between as
-a quarantined gap.
+The reader trusts nothing: a member must inflate with a right CRC and hold whole records and nothing else; a record must start
+with a version line, carry a Content-Length that fits, end in an empty line, and hold a block that matches its digests (in hex
+or base32, by the algorithm they name; digests of algorithms that the reader does not know are not checked). When a check
+fails, it searches for the next byte position where a valid member or a version line begins, whatever the file began with,
+goes on there, and logs the bytes between as a quarantined gap. Records of one member all have the member's byte range; of a
+member with a damaged record the good ones are read, and the member is logged as well.
 
 Defined results: null html is an empty payload; payloads under `least_bytes` are always responses; of equal payloads the
 one with the smallest page_id is the response; rows with a null page_id are left out (a record needs a name); page_id is
@@ -16,6 +18,8 @@ taken to be unique, and repeated ids keep one row for each record; an empty tabl
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import urllib.parse
@@ -118,8 +122,26 @@ def write_warc(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES
     return common.stored(marked.mapInArrow(_writer(folder, segment_bytes, compress), "path string, bytes long"), "warc-files")
 
 
-_TYPE = re.compile(rb"\r\n(WARC-[A-Za-z-]+|Content-Length): ([^\r\n]*)")
-_HTTP_LENGTH = re.compile(rb"(?i)\r\nContent-Length: *(\d+)")
+_FIELD = re.compile(rb"\r\n([!#$%&'*+.^_`|~0-9A-Za-z-]+)[ \t]*:[ \t]*([^\r\n]*(?:\r\n[ \t]+[^\r\n]*)*)")
+_FOLD = re.compile(rb"\r\n[ \t]+")
+_HTTP_LENGTH = re.compile(rb"(?i)\r\nContent-Length[ \t]*:[ \t]*(\d+)")
+# The algorithms of labelled digests that are checked.
+ALGORITHMS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512"}
+
+
+def matches(digest: str, data: bytes) -> bool:
+    """Whether a labelled digest, in hex or base32, is that of the data; true if its algorithm is unknown."""
+    label, colon, value = digest.strip().partition(":")
+    name = ALGORITHMS.get(label.strip().lower())
+    if not colon or not name:
+        return True
+    found, value = hashlib.new(name, data).digest(), value.strip()
+    if len(value) == 2 * len(found):
+        return found.hex() == value.lower()
+    try:
+        return base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8)) == found
+    except (binascii.Error, ValueError):
+        return False
 
 
 def parse(raw: bytes, at: int = 0) -> tuple[dict | None, int, str]:
@@ -129,7 +151,7 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     head_end = raw.find(b"\r\n\r\n", at)
     if head_end < 0:
         return None, at, "header not ended"
-    fields = {k.decode("ascii").lower(): v.decode("utf-8", "replace") for k, v in _TYPE.findall(raw[at : head_end + 2])}
+    fields = {k.decode("ascii").lower(): _FOLD.sub(b" ", v).decode("utf-8", "replace").strip() for k, v in _FIELD.findall(raw[at:head_end])}
     try:
         length = int(fields["content-length"])
     except (KeyError, ValueError):
@@ -137,17 +159,22 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict | None, int, str]:
     start, end = head_end + 4, head_end + 4 + length
     if length < 0 or len(raw) < end + 4 or raw[end : end + 4] != b"\r\n\r\n":
         return None, at, "block not ended"
-    if fields.get("warc-type") not in KINDS or not fields.get("warc-record-id"):
+    kind = fields.get("warc-type", "").lower()
+    if kind not in KINDS or not fields.get("warc-record-id"):
         return None, at, "header damaged"
     block = raw[start:end]
-    want = fields.get("warc-block-digest", "")
-    if want.startswith("sha1:") and hashlib.sha1(block).hexdigest() != want[5:].lower():
+    if not matches(fields.get("warc-block-digest", ""), block):
         return None, at, "block digest differs"
     http, _, payload = block.partition(b"\r\n\r\n")
-    kind = fields.get("warc-type", "")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:").lower()
-    if kind == "response" and digest and hashlib.sha256(payload).hexdigest() != digest:
+    if not fields.get("content-type", "application/http").lower().startswith("application/http"):
+        http, payload = b"", block
+    digest = fields.get("warc-payload-digest", "")
+    # A segment holds a part of the payload that its digest is of.
+    if kind == "response" and "warc-segment-number" not in fields and not matches(digest, payload):
         return None, at, "payload digest differs"
+    label, _, value = digest.partition(":")
+    if ALGORITHMS.get(label.lower()) == "sha256" and len(value) == 64:
+        digest = value.lower()
     declared = _HTTP_LENGTH.search(http + b"\r\n")
     size = len(payload) if kind == "response" or not declared else int(declared[1])
     return {"kind": kind, "name": fields.get("warc-record-id", "").strip("<>"), "url": urllib.parse.unquote(fields.get("warc-target-uri", "")), "refers_to": fields.get("warc-refers-to", "").strip("<>") or None, "payload_digest": digest, "payload_bytes": size, "payload": payload}, end + 4, ""
@@ -169,30 +196,57 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(out), min(pos, len(data)) - len(z.unused_data), ""
 
 
+def _member_records(raw: bytes) -> tuple[list[dict], str]:
+    """The good records of an inflated member, and what is wrong with the first bytes that are in none."""
+    records, at, why = [], 0, ""
+    while at < len(raw):
+        found, end, problem = parse(raw, at)
+        if found is None:
+            why = why or (problem if not records else f"bytes after the record: {problem}")
+            step = raw.find(VERSION, at + 1)
+            at = len(raw) if step < 0 else step
+            continue
+        records.append(found)
+        at = end
+    return records, why if raw else "member empty"
+
+
 def salvage(data: bytes, gzip: bool | None = None) -> tuple[list[dict], list[tuple[int, int, str]]]:
-    """Records with their byte ranges, and the gaps, of one archive. `gzip` None: as the first two bytes say."""
-    gzip = data[:2] == b"\x1f\x8b" if gzip is None else gzip
-    mark = b"\x1f\x8b\x08" if gzip else VERSION
+    """Records with their byte ranges, and the gaps, of one archive. Gzip members and plain records are told apart wherever
+    one begins; `gzip` True or False names the only kind to look for."""
+    marks = [m for m, looked in ((b"\x1f\x8b\x08", gzip is not False), (VERSION, gzip is not True)) if looked]
+    ahead = dict.fromkeys(marks, -1)  # where each mark is found next
+
+    def following(at: int) -> int:
+        for m in marks:
+            if ahead[m] < at:
+                place = data.find(m, at)
+                ahead[m] = len(data) if place < 0 else place
+        return min(ahead.values())
+
     records, gaps, at, bad, why = [], [], 0, None, ""
     while at < len(data):
-        found, end, problem = None, at, ""
-        if gzip:
-            raw, end, problem = _inflated(data, at) if data.startswith(mark, at) else (b"", at, "no member")
-            if not problem:
-                found, used, problem = parse(raw)
-                problem = problem or ("" if used == len(raw) else "bytes after the record")
-        else:
-            found, end, problem = parse(data, at)
+        found, end, problem, damaged = [], at, "no member or version line", ""
+        if any(data.startswith(m, at) for m in marks):
+            if data.startswith(VERSION, at):
+                one, end, problem = parse(data, at)
+                found = [one] if one else []
+            else:
+                raw, end, problem = _inflated(data, at)
+                if not problem:
+                    found, damaged = _member_records(raw)
+                    problem = "" if found else damaged
         if problem:
             if bad is None:
                 bad, why = at, problem
-            step = data.find(mark, at + 1)
-            at = len(data) if step < 0 else step
+            at = following(at + 1)
             continue
         if bad is not None:
             gaps.append((bad, at, why))
             bad = None
-        records.append(found | {"start": at, "end": end})
+        records += [r | {"start": at, "end": end} for r in found]
+        if damaged:
+            gaps.append((at, end, damaged))
         at = end
     if bad is not None:
         gaps.append((bad, len(data), why))

@@ -1,5 +1,6 @@
 """Archives and the vector index."""
 
+import base64
 import hashlib
 import random
 from collections import Counter
@@ -70,6 +71,47 @@ def test_salvage_of_broken_archives():
         assert len(cut) == 7 and log[0][:2] == (starts[7], starts[7] + 10)
 
 
+def test_salvage_when_the_start_is_damaged():
+    """What an archive begins with does not decide what is looked for after the damage."""
+    raws = [warc.record(i, f"u{i}", b"page %d" % i, hashlib.sha256(b"page %d" % i).hexdigest(), None, 6) for i in range(6)]
+    whole = b"".join(map(warc.member, raws))
+    for data in (b"\0\0" + whole[2:], b"rubbish" + whole, b"WARC/1.1 rubbish" + whole, raws[0][:40] + b"".join(map(warc.member, raws[1:]))):
+        records, gaps = warc.salvage(data)
+        assert [r["name"] for r in records][-5:] == [f"urn:page:{i}" for i in range(1, 6)]
+        assert len(gaps) == 1 and gaps[0][0] == 0 and gaps[0][1] == min(r["start"] for r in records)
+    records, gaps = warc.salvage(whole + raws[0] + whole)
+    assert len(records) == 13 and gaps == []
+
+
+def test_records_of_other_writers():
+    """Digests in other algorithms and encodings, header names in any case and spacing, several records a member."""
+    payload = b"<p>other</p>"
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+
+    def made(name, block_digest, payload_digest, broken=b""):
+        head = f"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID:   <urn:{name}>\r\nWarc-Target-Uri: http://a/\r\n b\r\ncontent-length:{len(block)}\r\nWARC-Block-Digest: {block_digest}\r\nWARC-Payload-Digest: {payload_digest}\r\n\r\n"
+        return head.encode() + (block if not broken else broken + block[len(broken) :]) + b"\r\n\r\n"
+
+    b32 = lambda name, data: f"{name}:" + base64.b32encode(hashlib.new(name, data).digest()).decode()
+    good = [
+        made("a", b32("sha1", block), b32("sha1", payload)),
+        made("b", "sha1:" + hashlib.sha1(block).hexdigest().upper(), "md5:" + hashlib.md5(payload).hexdigest()),
+        made("c", "sha-256:" + hashlib.sha256(block).hexdigest(), b32("sha256", payload).rstrip("=")),
+        made("d", "blake9:abc", "blake9:abc"),
+    ]
+    bad = [made("x", b32("sha1", block), "", b"HTTP/1.1 404"), made("y", "", b32("sha1", payload + b"!")), made("z", "sha1:short", "")]
+    for raw in (b"".join(good), b"".join(map(warc.member, good)), warc.member(b"".join(good))):
+        records, gaps = warc.salvage(raw)
+        assert [r["name"] for r in records] == ["urn:a", "urn:b", "urn:c", "urn:d"] and gaps == []
+        assert all(r["payload"] == payload and r["kind"] == "response" and r["url"] == "http://a/ b" for r in records)
+    for raw in bad:
+        for data in (raw, warc.member(raw)):
+            records, gaps = warc.salvage(data)
+            assert records == [] and "digest differs" in gaps[0][2]
+    records, gaps = warc.salvage(warc.member(good[0] + bad[0] + good[1]))
+    assert [r["name"] for r in records] == ["urn:a", "urn:b"] and len(gaps) == 1
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 24)) / 5
