@@ -255,13 +255,18 @@ def super_vertex(spark, sf_dir):
     return C.super_vertices(_knn(spark, sf_dir), 0.3, 0.05, 20)
 
 
-def _proposals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Overlapping groups: the neighbourhoods of every fifth row, scored by their mean similarity."""
-    knn = _knn(spark, sf_dir).filter("src % 5 = 0")
+def _proposals(spark, sf_dir, condition: str = "src % 5 = 0") -> tuple[DataFrame, DataFrame]:
+    """Overlapping groups: the neighbourhoods of rows, scored by their mean similarity; of every fifth row where the SQL twin says so."""
+    knn = _knn(spark, sf_dir).filter(condition)
     members = knn.select(F.col("src").alias("proposal_id"), F.col("dst").alias("node")).unionByName(knn.select(F.col("src").alias("proposal_id"), F.col("src").alias("node")).distinct())
     return members, knn.groupBy(F.col("src").alias("proposal_id")).agg(F.round(F.avg(1 - F.col("dist")), 9).alias("score"))
 
 
+def _all_proposals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The neighbourhoods of all rows."""
+    return _proposals(spark, sf_dir, "true")
+
+
 _PROP = f"{N}, o AS (SELECT src AS proposal_id, dst AS node FROM k WHERE src % 5 = 0 UNION SELECT id, id FROM e WHERE id % 5 = 0), z AS (SELECT src AS proposal_id, round(avg(1 - dist), 9) AS score FROM k WHERE src % 5 = 0 GROUP BY src)"
 
 
@@ -277,7 +282,7 @@ def nms_first(spark, sf_dir):
 
 @query()
 def nms_iou(spark, sf_dir):
-    return C.nms(*_proposals(spark, sf_dir), 0.1)
+    return C.nms(*_all_proposals(spark, sf_dir), 0.1)
 
 
 @query(
@@ -346,3 +351,37 @@ def two_hop(spark, sf_dir):
 def sub_graph(spark, sf_dir):
     ids = _emb(spark, sf_dir).select("id").filter("id % 3 = 0")
     return S.sub_graph(_knn(spark, sf_dir).select("src", "dst", F.round("dist", 6).alias("dist")), ids)
+
+
+# Proposals of all rows, and a subset that is data; the SQL twins of the queries without _t keep every fifth or third row.
+
+
+@query()
+def proposals_edges_t(spark, sf_dir):
+    return C.proposal_edges(_all_proposals(spark, sf_dir)[0], _knn(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
+
+
+@query()
+def nms_first_t(spark, sf_dir):
+    return C.nms_first(*_all_proposals(spark, sf_dir))
+
+
+@query()
+def deoverlap_t(spark, sf_dir):
+    members, scores = _all_proposals(spark, sf_dir)
+    return C.deoverlap(members, scores, _emb(spark, sf_dir).select("id"), 0.3)
+
+
+@query()
+def stat_cluster_t(spark, sf_dir):
+    found = C.cluster_statistics(_all_proposals(spark, sf_dir)[0], _emb(spark, sf_dir).select("id", "label"))
+    return found.select("proposal_id", "label", "size", *[F.round(c, 6).alias(c) for c in ("iou", "iop", "iog")])
+
+
+@query()
+def sub_graph_t(spark, sf_dir):
+    """The graph of the rows whose labels are at least as frequent as the average label."""
+    e = _emb(spark, sf_dir)
+    sizes = e.filter("label IS NOT NULL").groupBy("label").count()
+    ids = e.join(F.broadcast(sizes), "label").join(F.broadcast(sizes.agg(F.avg("count").alias("mean"))), F.expr("count >= mean")).select("id")
+    return S.sub_graph(_knn(spark, sf_dir).select("src", "dst", F.round("dist", 6).alias("dist")), ids)
