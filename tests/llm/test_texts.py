@@ -380,3 +380,17 @@ def test_long_lines_are_judged_whole(spark):
     left = {r.doc_id: (r.text, r.line_n_removed) for r in lines.dedup_lines(docs).collect()}
     assert [left[i] for i in range(3)] == [(x, 0) for x in long]
     assert [left[3 + i] for i in range(3)] == [("", 1)] * 3 and left[6] == (other, 0)
+
+
+def test_toxicity_reads_whole_words_and_unspaced_scripts():
+    def units(*texts):
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, raw)])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts, ends, at = toxicity.spans(common.LOWER[data], offsets)
+        return [[bytes(data[a:b]).decode() for a, b in zip(starts[i:j], ends[i:j], strict=True)] for i, j in zip(at[:-1], at[1:], strict=True)], toxicity.cells(data, offsets)[0]
+
+    assert units("漢字かな", "字 ab漢cd, ไทย", "", "漢", "字x")[0] == [["漢字", "字か", "かな", "な"], ["字", "ab", "漢", "cd", "ไท", "ทย", "ย"], [], ["漢"], ["字x"[:1], "x"]]
+    for a, b in (("Verantwortungslos", "Verantwortungsvoll"), ("справедливый", "справочник"), ("漢字漢字好人", "漢字漢字悪人")):
+        x, y = units(a)[1], units(b)[1]
+        assert len(x) == len(y) and (x != y).any()
