@@ -154,11 +154,9 @@ def test_lines_against_brute_force(spark, monkeypatch, small):
     variants = [" ".join([*base.split()[:i], "new", *base.split()[i + 1 :]]) for i in range(30)]
     rows = [*awkward(), (300, "\n".join(variants) + "\n---\n\n" + base.upper() + "!", "", 0), (301, base + "\n" + prose(21, 20) + "\n" + base, "", 0), (302, "Total: 17\nTotal: 18\n***\n***", "", 0)]
     docs = table(spark, rows)
-    occ = {(r[0], r[1]): re.findall(f"[^\n]{{1,{lines.MOST}}}\n?|\n", r[1] or "") for r in rows}
+    occ = {(r[0], r[1]): re.findall("[^\n]+\n?|\n", r[1] or "") for r in rows}
     parts = spark.createDataFrame([(p,) for p in {p for ps in occ.values() for p in ps}], "line string")
-    sims = {r.line_: r.sim for r in lines.sketches(parts.withColumn("line_", F.col("line")), "line_").collect()}
-    norm = {r.line: (r.norm, sims.get(r.line, 0)) for r in parts.withColumn("norm", lines.normalised(F.col("line"))).collect()}
-    assert all((r in sims) == bool(n[0]) for r, n in norm.items())
+    norm = {r.line: (r.norm, 0) for r in parts.withColumn("norm", lines.normalised(F.col("line"))).collect()}
     classes = sorted({v for v in norm.values() if v[0]})
     parent = {c: c for c, _ in classes}
 
@@ -176,9 +174,9 @@ def test_lines_against_brute_force(spark, monkeypatch, small):
             row = new
         return row[-1]
 
-    for i, (a, s) in enumerate(classes):
-        for b, t in classes[:i]:
-            if ((s ^ t) & ((1 << 64) - 1)).bit_count() <= lines.RADIUS and abs(len(a) - len(b)) * 5 <= max(len(a), len(b)) and distance(a, b) * 5 <= max(len(a), len(b)):
+    for i, (a, _) in enumerate(classes):
+        for b, _ in classes[:i]:
+            if abs(len(a) - len(b)) * 5 <= max(len(a), len(b)) and distance(a, b) * 5 <= max(len(a), len(b)):
                 x, y = find(a), find(b)
                 if x != y:
                     parent[x] = y
@@ -199,15 +197,78 @@ def test_lines_against_brute_force(spark, monkeypatch, small):
     assert lines.dedup_lines(table(spark, [])).collect() == []
 
 
-def test_simhash_is_the_majority_of_bits(spark):
-    df = spark.createDataFrame([("a b c d e",), ("a",), ("x y x y x",), (" -A 17, b",), ("a 00 B!",)], "k string").withColumn("line", F.col("k"))
-    sims = {r.k: r for r in lines.sketches(df, "k").collect()}
-    words = df.select("k", F.transform(F.array_distinct(F.split(lines.normalised(F.col("line")), " ")), lambda w: F.xxhash64(w)).alias("h")).collect()
-    for r in words:
-        least, n = min(r.h), len(r.h)
-        want = sum(1 << b for b in range(64) if (c := 2 * sum(h >> b & 1 for h in r.h)) > n or c == n and least >> b & 1)
-        assert sims[r.k].sim % (1 << 64) == want
-    assert sims[" -A 17, b"].id == sims["a 00 B!"].id and len({r.id for r in sims.values()}) == 4
+def test_simhash_is_the_majority_of_bits():
+    r = np.random.default_rng(5)
+    sizes = [1, 2, 3, 254, 255, 256, 700, 5]
+    h = r.integers(0, 2**63, sum(sizes), dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, sum(sizes), dtype=np.uint64)
+    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    for s, a, n in zip(lines.simhashes(h, first, np.array(sizes)).tolist(), first.tolist(), sizes, strict=True):
+        assert s == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[a : a + n]) > n)
+
+
+def test_line_features_normalise_like_the_column(spark):
+    texts = ["a b c d e", " -A 17, b", "a 00 B!", "Ünï… «cödé» ß\u00a0漢字、かな", "x\ty", "ISTANBUL ẞ Ǆ", "...", "١٢ ②"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc long, text string")
+    norm = {r.doc: r.norm for r in df.select("doc", lines.normalised(F.col("text")).alias("norm")).collect()}
+    ids = {r.doc: (r.id, r.n) for r in df.select("doc", F.lit(0).cast("long").alias("row"), "text").mapInArrow(lines._features, lines.FEATURES).collect()}
+    assert set(ids) == {i for i, t in norm.items() if t}
+    assert all(n == len(norm[i]) for i, (_, n) in ids.items())
+    assert {(norm[i] == norm[j]) == (ids[i] == ids[j]) for i in ids for j in ids} == {True}
+
+
+def test_edit_similarity():
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r = random.Random(2)
+    words = "a be see the of rain plain 漢字 more".split() + [f"w{i}" for i in range(20)]
+    both = set()
+    for _ in range(1500):
+        x = [r.choice(words) for _ in range(r.randint(1, 14))]
+        y = list(x)
+        for _ in range(r.randint(0, 4)):
+            y.insert(r.randrange(len(y) + 1), r.choice(words)) if r.random() < 0.5 or len(y) < 2 else y.pop(r.randrange(len(y)))
+        if r.random() < 0.2:
+            r.shuffle(y)
+        a, b = " ".join(x), " ".join(y)
+        d = distance(a, b)
+        assert lines._bound(x, y) >= d
+        assert lines.within(a, b) == (5 * d <= max(len(a), len(b)))
+        both.add(5 * d <= max(len(a), len(b)))
+    assert both == {True, False}
+
+
+def test_lines_recall_on_all_pairs(spark, sf):
+    """All pairs of distinct lines of the documents, with code of its own: at least 0.9 of the similar ones are linked."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE TABLE l AS SELECT DISTINCT trim(regexp_replace(lower(translate(x, '123456789', '000000000')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')) AS s FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM '{sf}/documents.parquet')")
+    # Byte distances of wide characters are larger, so pairs are only asked of lines in ASCII.
+    c.execute("CREATE TABLE p AS SELECT a.s AS x, b.s AS y FROM l a JOIN l b ON a.s < b.s AND abs(length(a.s) - length(b.s)) * 5 <= greatest(length(a.s), length(b.s)) WHERE a.s <> '' AND regexp_full_match(a.s, '[ -~]*') AND regexp_full_match(b.s, '[ -~]*') AND jaccard(left(a.s, 4000), left(b.s, 4000)) > 0.3")
+    pairs = c.execute("SELECT x, y FROM p WHERE levenshtein(x, y) * 5 <= greatest(length(x), length(y))").fetchall()
+    assert len(pairs) > 20
+    distinct = {s for p in pairs for s in p}
+    left = {s for r in lines.dedup_lines(spark.createDataFrame([(i, s) for i, s in enumerate(sorted(distinct))], "doc_id long, text string")).collect() for s in [r.text] if s}
+    parent = {s: s for s in distinct}
+
+    def find(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    for x, y in pairs:
+        parent[find(x)] = find(y)
+    groups = len({find(s) for s in distinct})
+    assert len(distinct) - len(left) >= 0.9 * (len(distinct) - groups)
 
 
 def test_token_counts_and_cache(spark, tmp_path):
