@@ -72,8 +72,9 @@ def linked(sets):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("rounds", [6, 1])
-def test_jaccard_matches_brute_force(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "small"), [(6, 64), (1, 2)])
+def test_jaccard_matches_brute_force(spark, monkeypatch, rounds, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "PAIRS_AN_ENTRY", 0.1 if rounds == 1 else 20)  # leader rounds before the exhaustive one
     monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
     rows = [r for r in awkward() if r[0] is not None]
@@ -82,6 +83,8 @@ def test_jaccard_matches_brute_force(spark, monkeypatch, rounds):
         for j in range(i % 7):
             w[(i * 11 + j * 13) % 90] = f"v{i}_{j}"
         rows.append((100 + i, " ".join(w), "", 0))
+    # One id with two texts: each links by its own.
+    rows += [(90, prose(51, 60), "", 0), (90, prose(52, 60), "", 0), (91, prose(52, 60) + " y", "", 0), (92, prose(51, 60) + " y", "", 0)]
     sets = [shingle_set(r[1]) for r in rows]
     roots = linked(sets)
     group = {}
@@ -92,6 +95,16 @@ def test_jaccard_matches_brute_force(spark, monkeypatch, rounds):
     assert got == want
 
 
+def test_parity_maps_never_differ_more_than_sets():
+    r = np.random.default_rng(4)
+    for n, lost, new in ((1, 0, 1), (200, 3, 9), (256, 0, 1), (300, 100, 0), (500, 20, 40), (3000, 10, 1500)):
+        x = r.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[lost:], r.integers(0, 2**63, new, dtype=np.uint64)])
+        apart = jaccard.bits_apart(jaccard.parity(np.unique(x)), jaccard.parity(np.unique(y)))
+        assert apart <= lost + new and apart == jaccard.bits_apart(jaccard.parity(np.unique(y)), jaccard.parity(np.unique(x)))
+        assert jaccard.bits_apart(jaccard.parity(np.unique(x)), jaccard.parity(np.unique(x))) == 0 and (apart > 0) == (lost + new > 0)
+
+
 def test_jaccard_of_nulls_and_nothing(spark):
     got = {r.component_id for r in jaccard.jaccard_components(table(spark)).filter("doc_id is null").collect()}
     assert got == {None}
