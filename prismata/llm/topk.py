@@ -9,7 +9,9 @@ it by more than the bound's width are out, and the rest (the boundary and what i
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part as query or candidate, nor
 does an empty one; ties go to the smaller vec_id; a query with fewer candidates returns all; vectors of other lengths than
-the query's are no candidates of it; repeated vec_ids are candidates each, but not of a query with their own id; an empty table gives no rows.
+the query's are no candidates of it; repeated vec_ids are candidates each, but not of a query with their own id; an empty table gives no rows;
+components of any finite size are scored exactly, those beyond 64 bits after scaling count as the largest of 64 bits, and a score beyond
+64 bits is an error; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -137,13 +139,24 @@ def top_of_block(index: BitSliced, ids: np.ndarray, query: np.ndarray, query_id:
     return ids[at][order], scores[order]
 
 
+#: From here on sums of products could leave 64 bits on the way; they are taken in integers without a limit.
+_WIDE = 1 << 62
+
+
+def _wide_top(rows: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for components so large that products need more than 64 bits; a score that does is an error."""
+    scores = rows.astype(object) @ query.astype(object)
+    at = sorted((j for j in range(len(ids)) if ids[j] != query_id), key=lambda j: (-scores[j], ids[j]))[:k]
+    return ids[at], np.array([int(scores[j]) for j in at], np.int64)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one block to one row: ids and components as bytes."""
     ids, rows, key = [], [], None
 
     def flush():
         i, r = np.concatenate(ids), np.concatenate(rows)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([i.tobytes()], pa.binary()), pa.array([r.astype(np.int32).tobytes()], pa.binary())], ["dims", "block", "ids", "vectors"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([i.tobytes()], pa.binary()), pa.array([r.tobytes()], pa.binary())], ["dims", "block", "ids", "vectors"])
 
     for batch in batches:
         dims, block = batch.column("dims").to_numpy(), batch.column("block").to_numpy()
@@ -168,11 +181,16 @@ def _search(k: int):
         for batch in batches:
             for dims, ids, vectors, qids, qvectors in zip(*(batch.column(c).to_pylist() for c in ("dims", "ids", "vectors", "qids", "qvectors")), strict=True):
                 i = np.frombuffer(ids, np.int64)
-                index = BitSliced(np.frombuffer(vectors, np.int32).astype(np.int64).reshape(len(i), dims))
+                rows = np.frombuffer(vectors, np.int64).reshape(len(i), dims)
+                index, most = None, max(int(rows.max()), -int(rows.min()))
                 q, n = np.frombuffer(qids, np.int64), []
                 best, scores = [], []
-                for qid, query in zip(q.tolist(), np.frombuffer(qvectors, np.int32).astype(np.int64).reshape(len(q), dims), strict=True):
-                    b, s = top_of_block(index, i, query, qid, k)
+                for qid, query in zip(q.tolist(), np.frombuffer(qvectors, np.int64).reshape(len(q), dims), strict=True):
+                    if most * sum(abs(int(x)) for x in query) >= _WIDE:
+                        b, s = _wide_top(rows, i, query, qid, k)
+                    else:
+                        index = index or BitSliced(rows)
+                        b, s = top_of_block(index, i, query, qid, k)
                     best.append(b)
                     scores.append(s)
                     n.append(len(b))
@@ -189,7 +207,7 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE, id_col
     """
     rows = common.columns(vectors, id=id_col, v=vector_col).select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"))
     whole = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    ints = whole.select("id", F.size("v").alias("dims"), F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("int")).alias("v"))
+    ints = whole.select("id", F.size("v").alias("dims"), F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
     asked = ints.filter(is_query)
     n, nq = (f.groupBy().count().first()[0] for f in (ints, asked))
     if not nq:

@@ -112,6 +112,18 @@ def test_records_of_other_writers():
     assert [r["name"] for r in records] == ["urn:a", "urn:b"] and len(gaps) == 1
 
 
+def test_top_k_of_large_components(spark):
+    x = [[2.9e6, 1.0, -1e6], [1.0, 2.0, 3.0], [-2e6, 0.5, 0.25], [2e6, -1e6, 4.0], [0.0, 0.0, 1.0]]
+    df = spark.createDataFrame([(100 * i if i < 2 else i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ids = [0, 100, 2, 3, 4]
+    ints = [[int(np.floor(1024 * c)) for c in v] for v in x]
+    want = set()
+    for q in (0, 100):
+        near = sorted((-sum(a * b for a, b in zip(ints[ids.index(q)], ints[ids.index(j)], strict=True)), j) for j in ids if j != q)
+        want |= {(q, r, j, -s) for r, (s, j) in enumerate(near, 1)}
+    assert {tuple(r) for r in topk.top_k(df, F.pmod("id", F.lit(100)) == 0).collect()} == want
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 24)) / 5
