@@ -205,7 +205,7 @@ def rank_order(knn: DataFrame, th_sim: float) -> DataFrame:
     # A row is at place 0 of its own list; it counts as missing only if it is in no list of the other, and mutual rows are in both.
     one, two = half("src", "dst", "rank"), half("dst", "src", "back")
     scored = mutual.join(one.withColumnRenamed("missing", "m1"), ["src", "dst"], "left").join(two.withColumnRenamed("missing", "m2"), ["src", "dst"], "left")
-    d = (F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))) / F.least("rank", "back")
+    d = (F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))) / F.least(F.col("rank"), F.col("back") + 1)  # places count the row itself, the first of its list
     return scored.select("src", "dst", d.alias("dist")).filter(F.col("dist") <= 1 - th_sim)
 
 

@@ -45,9 +45,9 @@ def offset_concat(df: DataFrame, part: str = "part") -> DataFrame:
 
 
 def negate_infrequent(df: DataFrame, least: int, keep_zero: bool = True) -> DataFrame:
-    """Labels of fewer than `least` rows are negated; with keep_zero False they become -(label + 1)."""
+    """Labels from 0 on of fewer than `least` rows are negated; with keep_zero False they become -(label + 1). Noise stays."""
     sizes = df.groupBy("label").count()
-    rare = F.col("count") < least
+    rare = (F.col("count") < least) & (F.col("label") >= 0)
     return df.join(sizes, "label").withColumn("new_label", F.when(rare, -F.col("label") if keep_zero else -(F.col("label") + 1)).otherwise(F.col("label")).cast("long")).drop("count")
 
 

@@ -170,7 +170,7 @@ def label_offset_concat(spark, sf_dir):
     return L.offset_concat(rows).select("id", "part", "label", "new_label")
 
 
-@query(f"WITH {_S} SELECT id, label, CASE WHEN count(*) OVER (PARTITION BY label) < 40 THEN -label ELSE label END AS new_label FROM s")
+@query(f"WITH {_S} SELECT id, label, CASE WHEN label >= 0 AND count(*) OVER (PARTITION BY label) < 40 THEN -label ELSE label END AS new_label FROM s")
 def infrequent_negate(spark, sf_dir):
     return L.negate_infrequent(_sized(spark, sf_dir), 40).select("id", "label", "new_label")
 

@@ -144,24 +144,29 @@ def conf_s_nbr(spark, sf_dir):
     return s.join(F.broadcast(top)).select("src", F.round(F.col("s") / F.col("top"), 6).alias("confidence"))
 
 
-@query(f"WITH {N}, z AS (SELECT label, count(*) AS n FROM e GROUP BY label), s AS (SELECT src, la, {_NBR} AS s FROM k GROUP BY src, la) SELECT src, round(s / n, 6) AS confidence FROM s JOIN z ON z.label = s.la")
+@query(f"WITH {N}, s AS (SELECT src, {_NBR} AS s, count(*) AS n FROM k GROUP BY src) SELECT src, round(s / max(n) OVER (), 6) AS confidence FROM s")
 def conf_s_nbr_size_norm(spark, sf_dir):
-    sizes = _emb(spark, sf_dir).groupBy("label").count()
-    return _agreement(spark, sf_dir).join(F.broadcast(sizes), "label").select("src", F.round(F.col("s") / F.col("count"), 6).alias("confidence"))
+    """Over the largest number of neighbours of any row."""
+    most = _knn(spark, sf_dir).groupBy("src").count().agg(F.max("count").alias("most"))
+    return _agreement(spark, sf_dir).join(F.broadcast(most)).select("src", F.round(F.col("s") / F.col("most"), 6).alias("confidence"))
 
 
-@query(f"WITH {M} SELECT a.id, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS confidence FROM e a JOIN m b ON a.label = b.label")
+def _unit_means(spark, sf_dir) -> DataFrame:
+    unit = _emb(spark, sf_dir).withColumn("vec", V.normalise(F.col("vec")))
+    return unit.join(S.centroids(unit).select("label", F.col("vec").alias("c"), "n"), "label")
+
+
+@query(f"WITH {P} SELECT e.id, round((coalesce(sum(1 - dist), 0) + 1) / (count(p.src) + 1), 6) AS confidence FROM e LEFT JOIN p ON p.src = e.id AND la = lb GROUP BY e.id")
 def conf_s_center(spark, sf_dir):
-    e = _emb(spark, sf_dir)
-    return e.join(F.broadcast(S.centroids(e).select("label", F.col("vec").alias("c"))), "label").select("id", F.round(1 - V.cosine_distance(F.col("vec"), F.col("c")), 6).alias("confidence"))
+    """Inner product of a unit vector with the mean of its label's unit vectors, which is not normalised again."""
+    return _unit_means(spark, sf_dir).select("id", F.round(V.inner_product(F.col("vec"), F.col("c")), 6).alias("confidence"))
 
 
-@query(f"WITH {P} SELECT src AS id, round(avg(1 - dist), 6) AS confidence FROM p WHERE la = lb GROUP BY src")
+@query(f"WITH {P} SELECT e.id, round(coalesce(avg(1 - dist), 0), 6) AS confidence FROM e LEFT JOIN p ON p.src = e.id AND la = lb GROUP BY e.id")
 def conf_s_avg(spark, sf_dir):
-    """Mean similarity to the label's other members, from the label's vector sum."""
-    unit = _emb(spark, sf_dir).withColumn("vec", V.normalise(F.col("vec")))
-    means = S.centroids(unit).select("label", F.col("vec").alias("c"), "n")
-    return unit.join(F.broadcast(means), "label").filter("n > 1").select("id", F.round((V.inner_product(F.col("vec"), F.col("c")) * F.col("n") - 1) / (F.col("n") - 1), 6).alias("confidence"))
+    """Mean similarity to the label's other members, from the label's vector sum; 0 for a row alone in its label."""
+    others = (V.inner_product(F.col("vec"), F.col("c")) * F.col("n") - 1) / (F.col("n") - 1)
+    return _unit_means(spark, sf_dir).select("id", F.round(F.when(F.col("n") > 1, others).otherwise(0.0), 6).alias("confidence"))
 
 
 @query(f"WITH {P}, {_closure(f'SELECT src AS x, dst AS y FROM p WHERE src < dst AND dist <= {T}')} SELECT id, component FROM c")
@@ -218,7 +223,7 @@ def dbscan(spark, sf_dir):
     f"""WITH {N}, x AS (SELECT a.src, a.dst, a.rank AS o, b.rank AS q FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src),
 y AS (SELECT x.src, x.dst, x.o, x.q, (SELECT count(*) FROM k WHERE k.src = x.src AND k.rank < x.o AND k.dst NOT IN (SELECT z.dst FROM k z WHERE z.src = x.dst)) + (SELECT count(*) FROM k WHERE k.src = x.dst AND k.rank < x.q AND k.dst NOT IN (SELECT z.dst FROM k z WHERE z.src = x.src)) AS m FROM x),
 """
-    + _closure("SELECT src AS x, dst AS y FROM y WHERE m / least(o, q) <= 0.5")
+    + _closure("SELECT src AS x, dst AS y FROM y WHERE m / least(o, q + 1) <= 0.5")
     + " SELECT id, component FROM c"
 )
 def aro(spark, sf_dir):
