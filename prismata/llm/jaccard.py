@@ -8,8 +8,8 @@ share a shingle among their first n - ceil(t * n) + 1, so only these go to the i
 * Lists are built in one shuffle: entries (shingle, class, position) are packed by ranges of shingles, and lists of a single
   class, nearly all of them, are dropped where a range is sorted. Nothing else of the index is ever written.
 * Block skipping: lists are read by blocks of position. The first block gives the classes of a list one leader; the others are
-  read only where a list still holds two groups. A pair is skipped where its sizes or positions rule the similarity out, or
-  its parity maps: a map of n or more bits has a bit flipped for each shingle, so maps of two sets never differ in
+  read only where a list still holds two groups. A pair is skipped where its sizes or positions rule the similarity out, where
+  the shingles before the shared one are the same (it is found there), or by its parity maps: a map of n or more bits has a bit flipped for each shingle, so maps of two sets never differ in
   more bits than the sets in shingles. All of these are bounds, so no link is lost.
 * Answers from similar sets: a class that was verified against a leader takes over the leader's group, and pairs inside one
   group are never looked at again, since their component is known. What is left is verified exactly, pair by pair, on the
@@ -60,7 +60,8 @@ LEAST_BITS = 256
 
 _FACTOR = common._RNG.integers(1, 2**63, 1, dtype=np.uint64)[0] * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64(1) << np.uint64(63)
-_ENTRY = np.dtype([("v", "<u8"), ("key", "<i8"), ("p", "<u4"), ("n", "<u4")])
+#: A shingle, the one before it in the set's order (0 for the first), the class, the position and the size.
+_ENTRY = np.dtype([("v", "<u8"), ("before", "<u8"), ("key", "<i8"), ("p", "<u4"), ("n", "<u4")])
 
 
 def _sampled(k: int):
@@ -142,6 +143,7 @@ def _indexed(shared, k: int, percent: int, ranges: int):
                 rank = np.arange(len(v)) - np.searchsorted(docs, docs)
                 take = rank < (n - (n * percent + 99) // 100 + 1)[docs]
                 found = np.empty(int(take.sum()), _ENTRY)
+                found["before"] = np.where(rank > 0, np.concatenate([v[:1], v[:-1]]), np.uint64(0))[take]
                 found["v"], found["key"], found["p"], found["n"] = v[take], keys[docs[take]], rank[take], n[docs[take]]
                 held.append(found)
                 size = b - a
@@ -174,7 +176,7 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         same = np.concatenate([[False], e["v"][1:] == e["v"][:-1], [False]])
         e = e[same[1:] | same[:-1]]
         none = lambda kind: pa.nulls(len(e), kind)
-        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), pa.array(e["n"].astype(np.int32)), pa.array(e["key"]), none(pa.binary()), pa.array(e["v"].view(np.int64)), pa.array(e["p"].astype(np.int32))], ["id", "row", "n", "key", "map", "v", "p"])
+        return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), pa.array(e["n"].astype(np.int32)), pa.array(e["key"]), none(pa.binary()), pa.array(e["v"].astype(np.uint64).view(np.int64)), pa.array(e["before"].astype(np.uint64).view(np.int64)), pa.array(e["p"].astype(np.int32))], ["id", "row", "n", "key", "map", "v", "before", "p"])
 
     now, blobs = -1, []
     for batch in batches:
@@ -182,7 +184,7 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         whole = packed.is_null()
         plain = batch.filter(whole)
         if plain.num_rows:
-            yield pa.RecordBatch.from_arrays([*plain.columns[1:6], pa.nulls(plain.num_rows, pa.int64()), pa.nulls(plain.num_rows, pa.int32())], ["id", "row", "n", "key", "map", "v", "p"])
+            yield pa.RecordBatch.from_arrays([*plain.columns[1:6], pa.nulls(plain.num_rows, pa.int64()), pa.nulls(plain.num_rows, pa.int64()), pa.nulls(plain.num_rows, pa.int32())], ["id", "row", "n", "key", "map", "v", "before", "p"])
         rest = batch.filter(packed.is_valid())
         for at, blob in zip(rest.column(0).to_pylist(), rest.column(6), strict=True):
             if at != now:
@@ -236,10 +238,12 @@ def _possible(percent: int):
 
 
 def _bounded(percent: int):
-    """Sizes and positions of a shared shingle (n, p ending in x and y) allow the similarity."""
+    """Sizes and positions of a shared shingle (n, p ending in x and y) allow the similarity, and the one before it is not shared
+    too: the first that two sets share is enough, and before it they differ."""
     nx, ny, px, py = (F.col(c) for c in ("nx", "ny", "px", "py"))
     rest = F.least(nx - px, ny - py)
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
+    fresh = (px == 0) | (py == 0) | (F.col("beforex") != F.col("beforey"))
+    return fresh & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,11 +253,11 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     shared = spark.sparkContext.broadcast(frequent(rows.filter(F.col("id").isNotNull()), k).tobytes())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.mapInArrow(_indexed(shared, k, percent, RANGES * parts), "range int, id long, row long, n int, key long, map binary, entries binary")
-    index = packed.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared_lists, "id long, row long, n int, key long, map binary, v long, p int")
+    index = packed.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared_lists, "id long, row long, n int, key long, map binary, v long, before long, p int")
     tables = [common.stored(index, "jaccard-index")]
     common.release(spark)
     members = tables[0].filter("v is null").select("id", "row", "n", "key", "map")
-    lists = tables[0].filter("v is not null").select("v", "key", "n", "p")
+    lists = tables[0].filter("v is not null").select("v", "before", "key", "n", "p")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         tables.append(common.stored(df, name))
@@ -270,7 +274,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     sets: DataFrame | None = None
 
     def sided(df: DataFrame, side: str, *more: str) -> DataFrame:
-        return df.select(F.col("v").alias(f"v{side}"), *[F.col(c).alias(f"{c}{side}") for c in ("key", "n", "p", *more)])
+        return df.select(F.col("v").alias(f"v{side}"), *[F.col(c).alias(f"{c}{side}") for c in ("key", "n", "p", "before", *more)])
 
     def judged(pairs: DataFrame) -> None:
         """Verifies pairs (p, q) that were not tried before and brings components up to date."""
@@ -302,8 +306,8 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
         return found.select(F.least("keyx", "keyy").alias("p"), F.greatest("keyx", "keyy").alias("q"))
 
     def led(df: DataFrame, turn: int, *more: str) -> DataFrame:
-        one = df.groupBy("v").agg(F.min_by(F.struct("key", "n", "p", *more), F.xxhash64("key", F.lit(turn))).alias("l"))
-        return one.select(F.col("v").alias("vx"), *[F.col(f"l.{c}").alias(f"{c}x") for c in ("key", "n", "p", *more)])
+        one = df.groupBy("v").agg(F.min_by(F.struct("key", "n", "p", "before", *more), F.xxhash64("key", F.lit(turn))).alias("l"))
+        return one.select(F.col("v").alias("vx"), *[F.col(f"l.{c}").alias(f"{c}x") for c in ("key", "n", "p", "before", *more)])
 
     # First block: the leaders of lists near the front.
     block = entries.filter(F.col("p") < FIRST)
