@@ -175,9 +175,9 @@ def tar_at_far(pairs: DataFrame, far_target: float = 1e-3, step: float = 0.001,
     total = c.groupBy("bin").agg(F.sum("fp").alias("all_fp"), F.sum("neg").alias("all_neg"))
     train = c.join(total, "bin").withColumn("far", F.try_divide(F.col("all_fp") - F.col("fp"), F.col("all_neg") - F.col("neg")))
     order = Window.partitionBy("fold").orderBy("bin")
-    steps = train.withColumn("next", F.lead("far").over(order)).withColumn("width", F.lit(step))
-    inside = (F.col("far") <= far_target) & (F.col("next") > far_target)
-    at = steps.groupBy("fold").agg(F.coalesce(F.min(F.when(inside, F.col("threshold") + (far_target - F.col("far")) / (F.col("next") - F.col("far")) * F.col("width"))), F.lit(0.0)).alias("t"))
+    steps = train.withColumn("last", F.lag("far").over(order))
+    reached = (F.col("last") < far_target) & (F.col("far") >= far_target)
+    at = steps.groupBy("fold").agg(F.coalesce(F.min(F.when(reached, F.col("threshold") - (F.col("far") - far_target) / (F.col("far") - F.col("last")) * step)), F.lit(0.0)).alias("t"))
     dealt = pairs.withColumn("fold", F.ntile(folds).over(Window.orderBy("pair_id")) - 1).join(F.broadcast(at), "fold")
     hit = F.col("dist") < F.col("t")
     each = dealt.groupBy("fold").agg(F.try_divide(F.count_if(hit & F.col("is_same")), F.count_if("is_same")).alias("tar"), F.try_divide(F.count_if(hit & ~F.col("is_same")), F.count_if(~F.col("is_same"))).alias("far"))

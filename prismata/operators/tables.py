@@ -53,13 +53,14 @@ def angle_histogram(df: DataFrame, value: Column) -> DataFrame:
 
 
 def membership_histogram(df: DataFrame, column: str) -> DataFrame:
-    """(lo, n): class sizes by the fixed edges up to the largest size, each bin up to the next edge."""
+    """(lo, n): class sizes by the fixed edges up to the largest size, each bin up to the next edge; the largest size is an edge of its own, with nothing beyond it."""
     sizes = df.groupBy(column).agg(F.count("*").alias("size"))
     lo = F.array_max(F.filter(F.array(*[F.lit(e) for e in MEMBERSHIP]), lambda e: e <= F.col("size")))
     counts = sizes.groupBy(lo.alias("lo")).agg(F.count("*").alias("n"))
     bins = df.sparkSession.createDataFrame([(e,) for e in MEMBERSHIP], "lo int")
     top = sizes.agg(F.max("size").alias("top"))
-    return zero_filled(counts, bins.join(F.broadcast(top), F.col("lo") <= F.col("top")).select("lo"), "lo")
+    found = zero_filled(counts, bins.join(F.broadcast(top), F.col("lo") <= F.col("top")).select("lo"), "lo")
+    return found.unionByName(top.filter("top IS NOT NULL").select(F.col("top").cast("int").alias("lo"), F.lit(0).cast("long").alias("n")))
 
 
 def label_value_histogram(df: DataFrame, column: str) -> DataFrame:

@@ -168,12 +168,13 @@ class SimilarityIndex:
         return self.label[end]
 
     def _sibling_distance(self, node: int) -> float:
+        """To the nearest sibling of another value: 0 without siblings, infinite if all are alike."""
         others = [k for k in self.children[self.parent[node]] if k != node]
         if not others:
             return 0.0
         d = self.distance(self.value[node], np.stack([self.value[k] for k in others]))
         d = d[d > 0]
-        return float(d.min()) if len(d) else 0.0
+        return float(d.min()) if len(d) else float("inf")
 
     def _refresh(self, node: int) -> None:
         kids = self.children[node]
