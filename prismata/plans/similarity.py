@@ -174,18 +174,14 @@ def single_linkage_cut(spark, sf_dir):
     return C.single_linkage(_emb(spark, sf_dir), T)
 
 
-@query("WITH e AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey < 2000), o AS (SELECT l_orderkey, min(l_partkey) AS h FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1), " + _closure("SELECT DISTINCT l_partkey AS x, h AS y FROM lineitem JOIN o USING (l_orderkey) WHERE l_partkey % 5 = 0 AND l_partkey <> h") + " SELECT id, component FROM c")
+@query(
+    """WITH l AS (SELECT l_orderkey AS o, l_partkey AS id FROM lineitem WHERE l_partkey IS NOT NULL), h AS (SELECT o, min(id) AS h FROM l WHERE o IS NOT NULL GROUP BY o),
+w AS (SELECT id AS x, h AS y FROM l JOIN h USING (o) WHERE id <> h UNION SELECT h, id FROM l JOIN h USING (o) WHERE id <> h),
+r AS (WITH RECURSIVE t(id, component) USING KEY (id) AS (SELECT DISTINCT id, id AS component FROM l UNION SELECT w.x, min(t.component) FROM t JOIN w ON w.y = t.id JOIN recurring.t c ON c.id = w.x WHERE t.component < c.component GROUP BY w.x) SELECT * FROM t)
+SELECT id, component FROM r"""
+)
 def connected_components(spark, sf_dir):
-    """Parts that occur in one order; each order is a star at its least part. Edges are thinned by a condition on the part so that groups stay apart."""
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000")
-    hub = l.groupBy("l_orderkey").agg(F.min("l_partkey").alias("dst"))
-    edges = l.join(hub, "l_orderkey").filter("l_partkey % 5 = 0").select(F.col("l_partkey").alias("src"), "dst")
-    return C.with_singletons(l.select(F.col("l_partkey").alias("id")).distinct(), components(edges))
-
-
-@query()
-def connected_components_t(spark, sf_dir):
-    """Parts that occur in one order, over all orders and parts; without SQL, whose recursion would walk the whole graph from every part."""
+    """Parts that occur in one order, over all orders and parts; each order is a star at its least part."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src")).filter(F.col("src").isNotNull())
     hub = l.filter(F.col("l_orderkey").isNotNull()).groupBy("l_orderkey").agg(F.min("src").alias("dst"))
     return C.with_singletons(l.select(F.col("src").alias("id")).distinct(), components(l.join(hub, "l_orderkey").select("src", "dst")))
@@ -260,19 +256,14 @@ def super_vertex(spark, sf_dir):
     return C.super_vertices(_knn(spark, sf_dir), 0.3, 0.05, 20)
 
 
-def _proposals(spark, sf_dir, condition: str = "src % 5 = 0") -> tuple[DataFrame, DataFrame]:
-    """Overlapping groups: the neighbourhoods of rows, scored by their mean similarity; of every fifth row where the SQL twin says so."""
-    knn = _knn(spark, sf_dir).filter(condition)
+def _proposals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Overlapping groups: the neighbourhoods of all rows, scored by their mean similarity."""
+    knn = _knn(spark, sf_dir)
     members = knn.select(F.col("src").alias("proposal_id"), F.col("dst").alias("node")).unionByName(knn.select(F.col("src").alias("proposal_id"), F.col("src").alias("node")).distinct())
     return members, knn.groupBy(F.col("src").alias("proposal_id")).agg(F.round(F.avg(1 - F.col("dist")), 9).alias("score"))
 
 
-def _all_proposals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The neighbourhoods of all rows."""
-    return _proposals(spark, sf_dir, "true")
-
-
-_PROP = f"{N}, o AS (SELECT src AS proposal_id, dst AS node FROM k WHERE src % 5 = 0 UNION SELECT id, id FROM e WHERE id % 5 = 0), z AS (SELECT src AS proposal_id, round(avg(1 - dist), 9) AS score FROM k WHERE src % 5 = 0 GROUP BY src)"
+_PROP = f"{N}, o AS (SELECT src AS proposal_id, dst AS node FROM k UNION SELECT src, src FROM k), z AS (SELECT src AS proposal_id, round(avg(1 - dist), 9) AS score FROM k GROUP BY src)"
 
 
 @query(f"WITH {_PROP}, t AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(dist) AS dist FROM k GROUP BY 1, 2) SELECT a.proposal_id, t.src, t.dst, round(t.dist, 6) AS dist FROM t JOIN o a ON a.node = t.src JOIN o b ON b.node = t.dst AND a.proposal_id = b.proposal_id")
@@ -287,7 +278,7 @@ def nms_first(spark, sf_dir):
 
 @query()
 def nms_iou(spark, sf_dir):
-    return C.nms(*_all_proposals(spark, sf_dir), 0.1)
+    return C.nms(*_proposals(spark, sf_dir), 0.1)
 
 
 @query(
@@ -352,41 +343,10 @@ def two_hop(spark, sf_dir):
     return S.two_hop(_knn(spark, sf_dir), 5, 2)
 
 
-@query(f"WITH {N}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM e WHERE id % 3 = 0) SELECT CAST(a.n AS INTEGER) AS src, CAST(b.n AS INTEGER) AS dst, round(dist, 6) AS dist FROM k JOIN n a ON a.id = k.src JOIN n b ON b.id = k.dst")
+@query(f"WITH {N}, z AS (SELECT label, count(*) AS m FROM e WHERE label IS NOT NULL GROUP BY label), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM e JOIN z USING (label) WHERE m >= (SELECT avg(m) FROM z)) SELECT CAST(a.n AS INTEGER) AS src, CAST(b.n AS INTEGER) AS dst, round(dist, 6) AS dist FROM k JOIN n a ON a.id = k.src JOIN n b ON b.id = k.dst")
 def sub_graph(spark, sf_dir):
-    ids = _emb(spark, sf_dir).select("id").filter("id % 3 = 0")
-    return S.sub_graph(_knn(spark, sf_dir).select("src", "dst", F.round("dist", 6).alias("dist")), ids)
-
-
-# Proposals of all rows, and a subset that is data; the SQL twins of the queries without _t keep every fifth or third row.
-
-
-@query()
-def proposals_edges_t(spark, sf_dir):
-    return C.proposal_edges(_all_proposals(spark, sf_dir)[0], _knn(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
-
-
-@query()
-def nms_first_t(spark, sf_dir):
-    return C.nms_first(*_all_proposals(spark, sf_dir))
-
-
-@query()
-def deoverlap_t(spark, sf_dir):
-    members, scores = _all_proposals(spark, sf_dir)
-    return C.deoverlap(members, scores, _emb(spark, sf_dir).select("id"), 0.3)
-
-
-@query()
-def stat_cluster_t(spark, sf_dir):
-    found = C.cluster_statistics(_all_proposals(spark, sf_dir)[0], _emb(spark, sf_dir).select("id", "label"))
-    return found.select("proposal_id", "label", "size", *[F.round(c, 6).alias(c) for c in ("iou", "iop", "iog")])
-
-
-@query()
-def sub_graph_t(spark, sf_dir):
     """The graph of the rows whose labels are at least as frequent as the average label."""
     e = _emb(spark, sf_dir)
     sizes = e.filter("label IS NOT NULL").groupBy("label").count()
-    ids = e.join(F.broadcast(sizes), "label").join(F.broadcast(sizes.agg(F.avg("count").alias("mean"))), F.expr("count >= mean")).select("id")
+    ids = e.join(sizes, "label").join(F.broadcast(sizes.agg(F.avg("count").alias("mean"))), F.expr("count >= mean")).select("id")
     return S.sub_graph(_knn(spark, sf_dir).select("src", "dst", F.round("dist", 6).alias("dist")), ids)

@@ -1,4 +1,4 @@
-"""Registered queries without SQL twins that take whole tables."""
+"""Registered queries that take whole tables, against plain Python."""
 
 import __spark_entry__
 from prismata.plans import similarity
@@ -18,7 +18,7 @@ def test_components_of_all_orders(spark, sf):
     for order, part in rows:
         x, y = find(first.setdefault(order, part)), find(part)
         parent[max(x, y)] = min(x, y)
-    got = __spark_entry__.queries()["connected_components_t"](spark, sf).collect()
+    got = __spark_entry__.queries()["connected_components"](spark, sf).collect()
     assert {r.id: r.component for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
 
 
@@ -26,7 +26,7 @@ def test_components_keep_groups_apart(spark, tmp_path):
     """Orders beyond key 2000 and parts that 5 does not divide count too."""
     lines = [(1, 10), (1, 11), (5000, 11), (5000, 12), (7000, 21), (7000, 22), (8000, 31), (8001, 41), (8001, 40)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = __spark_entry__.queries()["connected_components_t"](spark, str(tmp_path)).collect()
+    got = __spark_entry__.queries()["connected_components"](spark, str(tmp_path)).collect()
     assert {r.id: r.component for r in got} == {10: 10, 11: 10, 12: 10, 21: 21, 22: 21, 31: 31, 40: 40, 41: 40}
 
 
@@ -40,13 +40,13 @@ def test_proposals_of_all_rows(spark, sf):
         sims.setdefault(r.src, []).append(1 - r.dist)
     assert members.keys() == rows.keys()
     score = {p: sum(x) / len(x) for p, x in sims.items()}
-    assert {(r.proposal_id, r.size) for r in run("stat_cluster_t")} == {(p, len(m)) for p, m in members.items()}
+    assert {(r.proposal_id, r.size) for r in run("stat_cluster")} == {(p, len(m)) for p, m in members.items()}
     pairs = {(min(r.src, r.dst), max(r.src, r.dst)) for r in knn}
-    assert {(r.proposal_id, r.src, r.dst) for r in run("proposals_edges_t")} == {(p, a, b) for p, m in members.items() for a, b in pairs if a in m and b in m}
-    best = {r.node: r.proposal_id for r in run("nms_first_t")}
+    assert {(r.proposal_id, r.src, r.dst) for r in run("proposals_edges")} == {(p, a, b) for p, m in members.items() for a, b in pairs if a in m and b in m}
+    best = {r.node: r.proposal_id for r in run("nms_first")}
     assert best.keys() == rows.keys() and all(n in members[p] and score[p] >= max(score[q] for q, m in members.items() if n in m) - 1e-5 for n, p in best.items())
     iou = lambda a, b: len(members[a] & members[b]) / len(members[a] | members[b])
-    exact = {r.proposal_id: r.score for r in similarity._all_proposals(spark, sf)[1].collect()}
+    exact = {r.proposal_id: r.score for r in similarity._proposals(spark, sf)[1].collect()}
     kept, want = [], {}
     for p in sorted(members, key=lambda p: (-exact[p], p)):
         if all(iou(p, q) <= 0.1 for q in kept):
@@ -55,11 +55,11 @@ def test_proposals_of_all_rows(spark, sf):
                 want.setdefault(n, p)
     assert {r.node: r.proposal_id for r in run("nms_iou")} == want and any(p % 5 for p in kept)
     good = {n: p for n, p in best.items() if score[p] >= 0.3 + 1e-5}
-    groups = {r.id: r.component for r in run("deoverlap_t")}
+    groups = {r.id: r.component for r in run("deoverlap")}
     assert groups.keys() == rows.keys() and all(groups[n] == min(m for m, q in good.items() if q == p) for n, p in good.items())
     sizes = {}
     for label in rows.values():
         sizes[label] = sizes.get(label, 0) + 1
     ids = sorted(i for i, label in rows.items() if sizes[label] >= sum(sizes.values()) / len(sizes))
     number = {i: n for n, i in enumerate(ids)}
-    assert {(r.src, r.dst) for r in run("sub_graph_t")} == {(number[r.src], number[r.dst]) for r in knn if r.src in number and r.dst in number}
+    assert {(r.src, r.dst) for r in run("sub_graph")} == {(number[r.src], number[r.dst]) for r in knn if r.src in number and r.dst in number}
