@@ -245,6 +245,31 @@ def test_similarity_index():
     assert again.add(np.array([0.05, 0.0])) == 0 and suppress.SimilarityIndex(suppress.euclidean_many, 1).search(np.zeros(2)) == (None, float("inf"))
 
 
+def test_index_pairs_beside_siblings_all_alike():
+    index = suppress.SimilarityIndex(suppress.euclidean_many, 0.5)
+    index.root = index._node(np.zeros(1), None, False)
+    ends = [index._node(np.zeros(1), k, True) for k in (0, 1)]
+    alone = index._node(np.zeros(1), 2, True)
+    for end in ends:
+        index._attach(end, index.root)
+    index._attach(alone, ends[0])
+    assert index._sibling_distance(ends[0]) == float("inf") and index._sibling_distance(alone) == 0.0
+
+
+def test_tar_where_far_just_reaches_its_target(spark):
+    """By hand: fold 0 trains on a negative at 0.5 (FAR 1 from 0.75 on), fold 1 on one at 0.3 (from 0.5 on)."""
+    pairs = spark.createDataFrame([(0, 0.1, True), (1, 0.3, False), (2, 0.2, True), (3, 0.5, False)], "pair_id long, dist double, is_same boolean")
+    r = M.tar_at_far(pairs, 1.0, 0.25, 2).first()
+    assert (r.tar, r.tar_std, r.far) == (1.0, 0.0, 0.5)
+    assert M.tar_at_far(pairs.filter("is_same"), 1.0, 0.25, 2).first().tar == 0.0
+
+
+def test_membership_ends_with_the_largest_size(spark):
+    rows = spark.createDataFrame([(k,) for k, n in enumerate((1, 1, 3, 7)) for _ in range(n)], "k long")
+    assert [(r.lo, r.n) for r in T.membership_histogram(rows, "k").orderBy("lo").collect()] == [(1, 2), (2, 1), (6, 1), (7, 0)]
+    assert T.membership_histogram(rows.limit(0), "k").collect() == []
+
+
 def test_files(spark, tmp_path):
     x = np.random.default_rng(1).normal(size=(1000, 6)).astype(np.float32)
     (tmp_path / "m.bin").write_bytes(x.tobytes())
