@@ -148,6 +148,19 @@ def test_approximate_joins_recall(spark, sf):
     assert got <= near and len(got) >= 0.9 * len(near)
 
 
+def test_ivf_queries_ask_all_rows(spark, sf):
+    """Every twentieth row asks, all rows are indexed; with all cells probed it is the brute-force search, copies and ties included."""
+    import __spark_entry__
+
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    both = df.unionByName(df.select((F.col("id") + 1000).alias("id"), "vec"))
+    exact = {(r.src, r["rank"], r.dst) for r in S.knn_join(both, 5).collect() if r.src % 20 == 0}
+    assert exact == {(r.src, r["rank"], r.dst) for r in S.ivf_knn(both, 5, cells=4, nprobe=4, queries=F.col("id") % 20 == 0, block=100).collect()}
+    brute = {(r.src, r.dst) for r in S.knn_join(df, 10).collect() if r.src % 20 == 0}
+    got = {(r.src, r.dst) for r in __spark_entry__.queries()["ivf_knn"](spark, sf).collect()}
+    assert {src for src, _ in got} == {src for src, _ in brute} and len(got & brute) >= 0.9 * len(brute)
+
+
 def test_template_means(spark):
     _, df = vectors(spark)
     out = S.template_means(df.select(F.col("label").alias("track"), "id", "vec"), 3).collect()
