@@ -161,6 +161,27 @@ def test_ivf_queries_ask_all_rows(spark, sf):
     assert {src for src, _ in got} == {src for src, _ in brute} and len(got & brute) >= 0.9 * len(brute)
 
 
+def test_lsh_groups_lose_no_link(spark):
+    """Groups and numbers of links as brute force has them, whichever tiles the projections leave out."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8))
+    vecs = np.concatenate([centres[i % 40] * (1 + i) + 0.25 * (1 + i) * rng.normal(size=8) for i in range(900)]).reshape(900, 8)
+    vecs = np.concatenate([vecs, vecs[:50] * 3])
+    unit = vecs / np.sqrt((vecs * vecs).sum(1))[:, None]
+    links = 1 - unit @ unit.T <= 0.02
+    np.fill_diagonal(links, False)
+    reach, near = np.arange(950), links | np.eye(950, dtype=bool)
+    while ((new := np.where(near, reach[None], 950).min(1)) != reach).any():
+        reach = new
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)] + [(950, None), (951, [0.0] * 8)], "id long, vec array<double>")
+    want = {i: (int(reach[i]), int(links[i].sum())) for i in range(950)} | {950: (950, 0), 951: (951, 0)}
+    for block in (200, 8192):
+        assert {r.id: (r.component, r.n_links) for r in S.lsh_groups(df, 0.02, block=block).collect()} == want
+    assert {(r.src, r.dst) for r in S.lsh_join(df, 0.02, block=200).collect()} == {(i, j) for i, j in np.argwhere(links).tolist() if i < j}
+    whole = sum(len(a) * len(b) for a, b in S.tiles(np.repeat(unit, 8, 0), np.repeat(unit, 8, 0), 0.02, 1.0, 8, 0))
+    assert whole < (8 * 950) ** 2
+
+
 def test_template_means(spark):
     _, df = vectors(spark)
     out = S.template_means(df.select(F.col("label").alias("track"), "id", "vec"), 3).collect()
