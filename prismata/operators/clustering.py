@@ -281,9 +281,12 @@ def nms(members: DataFrame, scores: DataFrame, th: float = 1.0) -> DataFrame:
     if th >= 1:
         return nms_first(members, scores)
     sizes = members.groupBy("proposal_id").agg(F.count("*").alias("n")).join(scores, "proposal_id")
-    pairs = members.toDF("a", "node").join(members.toDF("b", "node"), "node").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    full = pairs.join(sizes.toDF("a", "na", "sa"), "a").join(sizes.toDF("b", "nb", "sb"), "b").filter(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) > th)
-    rivals = _cut(full.filter((F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))).select("a", "b"))
+    sized = _cut(members.join(sizes, "proposal_id").select("proposal_id", "node", "n", "score"))
+    # Of two proposals with a node in common the better one comes first; each pair is formed once a node.
+    better = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
+    common = sized.toDF("a", "node", "na", "sa").join(sized.toDF("b", "other", "nb", "sb"), (F.col("node") == F.col("other")) & better)
+    pairs = common.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    rivals = _cut(pairs.filter(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) > th).select("a", "b"))
     state = _cut(sizes.select("proposal_id", F.lit(None).cast("boolean").alias("keep")))
     while True:
         seen = rivals.join(state.toDF("a", "keep"), "a").groupBy(F.col("b").alias("proposal_id")).agg(F.bool_or(F.coalesce("keep", F.lit(False))).alias("beaten"), F.bool_or(F.col("keep").isNull()).alias("waits"))

@@ -356,3 +356,23 @@ def test_nothing_outside_imports_the_subpackage():
 
     root = pathlib.Path(__file__).parent.parent / "prismata"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
+
+
+def test_proposals_search_neighbours_once(spark, sf, monkeypatch):
+    """nms reads members several times; what they come from must not be searched again for each."""
+    from prismata.plans import similarity as plans
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(spark, sf_dir, k=10, knn=plans._knn):
+        def count(batches):
+            for batch in batches:
+                runs.add(batch.num_rows)
+                yield batch
+
+        found = knn(spark, sf_dir, k)
+        return found.mapInArrow(count, found.schema)
+
+    monkeypatch.setattr(plans, "_knn", counted)
+    got = plans.nms_iou(spark, sf).collect()
+    assert got and runs.value == 10 * spark.read.parquet(f"{sf}/embeddings.parquet").count()
