@@ -10,7 +10,8 @@ share a shingle among their first n - ceil(t * n) + 1, so only these go to the i
 * Block skipping: lists are read by blocks of position. The first block gives the classes of a list one leader; the others are
   read only where a list still holds two groups. A pair is skipped where its sizes or positions rule the similarity out, where
   the shingles before the shared one are the same (it is found there), or by its parity maps: a map of n or more bits has a bit flipped for each shingle, so maps of two sets never differ in
-  more bits than the sets in shingles. All of these are bounds, so no link is lost.
+  more bits than the sets in shingles. Maps folded to LEAST_BITS go with the entries, so that the join that finds a pair rules
+  it out. All of these are bounds, so no link is lost.
 * Answers from similar sets: a class that was verified against a leader takes over the leader's group, and pairs inside one
   group are never looked at again, since their component is known. What is left is verified exactly, pair by pair, on the
   whole sets.
@@ -30,6 +31,8 @@ are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +60,7 @@ LEADER_ROUNDS = 6
 RANGES = 16
 #: Bits of the smallest parity map.
 LEAST_BITS = 256
+FOLDS = [f"f{i}" for i in range(LEAST_BITS // 64)]
 
 _FACTOR = common._RNG.integers(1, 2**63, 1, dtype=np.uint64)[0] * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64(1) << np.uint64(63)
@@ -105,6 +109,14 @@ def bits_apart(x: bytes, y: bytes) -> int:
     return (a ^ int.from_bytes(y, "big")).bit_count()
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, map) to (key, the map folded to LEAST_BITS, as longs)."""
+    for batch in batches:
+        words = [np.bitwise_xor.reduce(np.frombuffer(m.as_py(), np.int64).reshape(-1, LEAST_BITS // 64), axis=0) for m in batch.column(1)]
+        folds = np.array(words, np.int64).reshape(-1, LEAST_BITS // 64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(folds[:, i]) for i in range(folds.shape[1])]], ["key", *FOLDS])
+
+
 def _indexed(shared, k: int, percent: int, ranges: int):
     """(id, row, text) to a row of each text, and packed index entries of the classes that the task has not seen yet."""
 
@@ -238,12 +250,13 @@ def _possible(percent: int):
 
 
 def _bounded(percent: int):
-    """Sizes and positions of a shared shingle (n, p ending in x and y) allow the similarity, and the one before it is not shared
-    too: the first that two sets share is enough, and before it they differ."""
+    """Sizes, positions of a shared shingle and folded maps (n, p and FOLDS ending in x and y) allow the similarity, and the one
+    before it is not shared too: the first that two sets share is enough, and before it they differ."""
     nx, ny, px, py = (F.col(c) for c in ("nx", "ny", "px", "py"))
+    apart = reduce(add, [F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in FOLDS])
     rest = F.least(nx - px, ny - py)
     fresh = (px == 0) | (py == 0) | (F.col("beforex") != F.col("beforey"))
-    return fresh & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
+    return fresh & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent) & ((100 + percent) * apart <= (100 - percent) * (nx + ny))
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +279,8 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     # One row a class: its first text and the parity map.
     classes = stored(members.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"), F.max("map").alias("map"), F.min("n").alias("n")).select("key", "at.id", "at.row", "map", "n"), "jaccard-classes")
     sizes = lists.groupBy("v").agg(F.count("*").alias("m"))
-    entries = stored(lists.join(sizes, "v"), "jaccard-lists")
+    folds = classes.select("key", "map").mapInArrow(_folded, "key long, " + ", ".join(f"{c} long" for c in FOLDS))
+    entries = stored(lists.join(sizes, "v").join(folds, "key"), "jaccard-lists")
 
     comp: DataFrame | None = None  # (id, component) of linked classes
     links: DataFrame | None = None
@@ -274,7 +288,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
     sets: DataFrame | None = None
 
     def sided(df: DataFrame, side: str, *more: str) -> DataFrame:
-        return df.select(F.col("v").alias(f"v{side}"), *[F.col(c).alias(f"{c}{side}") for c in ("key", "n", "p", "before", *more)])
+        return df.select(F.col("v").alias(f"v{side}"), *[F.col(c).alias(f"{c}{side}") for c in ("key", "n", "p", "before", *FOLDS, *more)])
 
     def judged(pairs: DataFrame) -> None:
         """Verifies pairs (p, q) that were not tried before and brings components up to date."""
@@ -306,8 +320,8 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, id_c
         return found.select(F.least("keyx", "keyy").alias("p"), F.greatest("keyx", "keyy").alias("q"))
 
     def led(df: DataFrame, turn: int, *more: str) -> DataFrame:
-        one = df.groupBy("v").agg(F.min_by(F.struct("key", "n", "p", "before", *more), F.xxhash64("key", F.lit(turn))).alias("l"))
-        return one.select(F.col("v").alias("vx"), *[F.col(f"l.{c}").alias(f"{c}x") for c in ("key", "n", "p", "before", *more)])
+        one = df.groupBy("v").agg(F.min_by(F.struct("key", "n", "p", "before", *FOLDS, *more), F.xxhash64("key", F.lit(turn))).alias("l"))
+        return one.select(F.col("v").alias("vx"), *[F.col(f"l.{c}").alias(f"{c}x") for c in ("key", "n", "p", "before", *FOLDS, *more)])
 
     # First block: the leaders of lists near the front.
     block = entries.filter(F.col("p") < FIRST)

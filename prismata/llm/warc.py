@@ -115,10 +115,13 @@ def write_warc(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES
     """Writes a record for each row of (page_id, url, html) and returns the written files (path, bytes)."""
     rows = common.columns(pages, page_id="page_id", url="url", html="html").filter(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
-    # Only payloads that repeat are joined: a row for each digest, so that copies by the thousand move as map-side sums.
-    first = rows.filter(F.col("n") >= least_bytes).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    marked = rows.join(first, (F.col("digest") == F.col("same")) & (F.col("n") >= least_bytes), "left")
-    marked = marked.select("page_id", "url", F.when(F.col("first") < F.col("page_id"), F.lit("")).otherwise(F.col("html")).alias("html"), "n", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    # Copies are found without their payloads, so that a page that is there by the thousand never meets in one task; then each
+    # record is told what it refers to by its own name.
+    bare = rows.filter(F.col("n") >= least_bytes).select("page_id", "digest")
+    first = bare.groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    refers = bare.join(first.hint("shuffle_hash"), F.col("digest") == F.col("same")).filter(F.col("first") < F.col("page_id")).groupBy(F.col("page_id").alias("of"), "same").agg(F.min("first").alias("refers_to"))
+    marked = rows.join(refers, (F.col("page_id") == F.col("of")) & (F.col("digest") == F.col("same")), "left")
+    marked = marked.select("page_id", "url", F.when(F.col("refers_to").isNotNull(), F.lit("")).otherwise(F.col("html")).alias("html"), "n", "digest", "refers_to")
     return common.stored(marked.mapInArrow(_writer(folder, segment_bytes, compress), "path string, bytes long"), "warc-files")
 
 
