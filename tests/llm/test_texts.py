@@ -468,3 +468,66 @@ def test_toxicity_reads_whole_words_and_unspaced_scripts():
     for a, b in (("Verantwortungslos", "Verantwortungsvoll"), ("справедливый", "справочник"), ("漢字漢字好人", "漢字漢字悪人")):
         x, y = units(a)[1], units(b)[1]
         assert len(x) == len(y) and (x != y).any()
+
+
+def _plain_evidence(rows, marks):
+    """Evidence of each text by dictionaries: every pair of words has a count of its own."""
+    n, buckets = [{}, {}], 1 << toxicity.WORD_BITS
+    units = lambda text: list(zip(["", *text.split()], text.split()))
+    for i, text in rows:
+        if i in marks:
+            for pair in units(text):
+                n[marks[i]][pair] = n[marks[i]].get(pair, 0) + 1
+    seen, uses = [{}, {}], [{}, {}]
+    for k in (0, 1):
+        for (_, w), v in n[k].items():
+            seen[k][w] = seen[k].get(w, 0) + 1
+            uses[k][w] = uses[k].get(w, 0) + v
+    total = sum(seen[0].values()) + sum(seen[1].values()) + 0.5 * buckets
+
+    def discount(counts):
+        ones, twos = (sum(v == x for v in counts.values()) for x in (1, 2))
+        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.75
+
+    def p(k, pair):
+        d, every = discount(uses[k]), sum(uses[k].values())
+        left = 1 - sum(v - d for v in uses[k].values()) / every
+        low = max(uses[k].get(pair[1], 0) - d, 0) / every + left * (seen[0].get(pair[1], 0) + seen[1].get(pair[1], 0) + 0.5) / total
+        d, after = discount(n[k]), [v for (c, _), v in n[k].items() if c == pair[0]]
+        return low, max(n[k].get(pair, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * low if after else low
+
+    def ratio(pair):
+        (low1, p1), (low0, p0) = p(1, pair), p(0, pair)
+        m = n[0].get(pair, 0) + n[1].get(pair, 0)
+        return np.log(low1 / low0) + (np.log(p1 / p0) - np.log(low1 / low0)) * m / (m + toxicity.TRUST)
+
+    out = {}
+    for i, text in rows:
+        found = [min(toxicity.CAP, max(0, ratio(u) - toxicity.BAND)) for u in units(text)]
+        out[i] = np.log(toxicity.FLOOR + sum(found) / max(1, len(found)))
+    return out
+
+
+@pytest.mark.parametrize("head", [1 << 21, 20, 0])
+def test_toxicity_counts_every_pair_of_words(spark, monkeypatch, head):
+    """Toxic is who says "oak" after an even word, so each word before counts; cells beyond the head are joined."""
+    monkeypatch.setattr(toxicity, "HEAD", head)
+    rows = []
+    for i in range(150):
+        words = [w.rstrip("0123456789") + "s" for w in prose(7000 + i, 12).split()]  # no two of these share a bucket
+        tail = [f"{'odd' if i % 3 else 'even'}{(i + j) % 15} oak" for j in range(4)]
+        rows.append((i, " ".join([*words, *tail])))
+    marks = {i: int(i % 3 == 0) for i, _ in rows if i < 120}
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    docs = table(spark, [(i, t, "", 0) for i, t in [*rows, rows[130], (None, rows[0][1])]])
+    got = toxicity.score_toxicity(docs, labels, F.col("id") < 90, F.col("id") >= 90).collect()
+    want = _plain_evidence(rows, {i: k for i, k in marks.items() if i < 90})
+    assert len(got) == 152
+    apart = [(r.doc_id, r.evidence, want[r.doc_id or 0]) for r in got if abs(r.evidence - want[r.doc_id or 0]) > 1e-3]
+    assert apart == []
+    kept = toxicity.drop_toxic(docs, labels, F.col("id") < 90, F.col("id") >= 90)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(r.doc_id for r in got if r.doc_id is not None and r.score < 0.5)
+    texts = [f"word{i} oak" for i in range(200)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    assert len(np.unique(toxicity.cells(data, np.cumsum([0, *map(len, texts)]))[0][1::2])) == 200
