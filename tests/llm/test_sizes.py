@@ -62,3 +62,38 @@ def test_copies_of_a_page_never_meet_with_their_payload(spark, monkeypatch, tmp_
     assert got == {str(i): ("revisit", "1") if i % 2 and i > 1 else ("response", None) for i in range(40)}
     dealt = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(" in line]
     assert dealt and any("hashpartitioning(page_id" in line for line in dealt)
+
+
+def test_line_tables_go_once_they_are_read(spark, monkeypatch, tmp_path):
+    """While lines are compared, neither the table of all lines nor the keys stay on disk, and texts are kept without sketches."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    there, columns = {}, {}
+    stored = common.stored
+
+    def watched(df, name, compression=None):
+        out = stored(df, name, compression)
+        there[name] = {p.name.rpartition("-")[0] for p in (tmp_path / "prismata").iterdir() if any(p.iterdir())}
+        columns[name] = out.columns
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    base = prose(33, 90)
+    docs = table(spark, [(i, base.replace(base.split()[i], f"w{i}"), "", 0) for i in range(4)])
+    assert [r.line_n_removed for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1, 1, 1]
+    assert not there["line-pairs"] & {"lines", "line-keys"}
+    assert columns["line-texts"] == ["id", "n", "norm"]
+
+
+def test_sums_of_pieces_are_upper_bounds(spark):
+    """Never under the edit distance, and near it where words changed, so that most copies need no whole band."""
+    rows = []
+    for i in range(40):
+        base = prose(8000 + i, 120 + 10 * i).split()
+        rows.append((" ".join(base), " ".join(f"é{w[::-1]}" if (j * 7 + i) % 9 == 0 else w for j, w in enumerate(base))))
+        rows.append((" ".join(base), prose(9000 + i, 140)))
+        rows.append((" ".join(base), " ".join(base[60:] + base[:60])))
+    pairs = spark.createDataFrame(rows, "x string, y string").withColumn("n", F.greatest(F.char_length("x"), F.char_length("y")))
+    got = pairs.select("n", F.levenshtein("x", "y").alias("d"), F.expr(lines.pieces_apart("x", "y")).alias("most"), lines.similar("x", "y", "n").alias("s")).collect()
+    assert all(r.most >= r.d and r.s == (5 * r.d <= r.n) for r in got)
+    near = [r for r in got if 5 * r.d <= r.n]
+    assert len(near) >= 40 and sum(5 * r.most <= r.n for r in near) >= 0.9 * len(near)
