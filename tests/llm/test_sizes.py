@@ -97,3 +97,37 @@ def test_sums_of_pieces_are_upper_bounds(spark):
     assert all(r.most >= r.d and r.s == (5 * r.d <= r.n) for r in got)
     near = [r for r in got if 5 * r.d <= r.n]
     assert len(near) >= 40 and sum(5 * r.most <= r.n for r in near) >= 0.9 * len(near)
+
+
+def test_large_lists_make_no_rows_of_pairs_that_differ(spark, monkeypatch):
+    """Long lines around one passage share keys but few are similar: what differs never becomes a row, what is similar is found."""
+    made = []
+    stored = common.stored
+
+    def watched(df, name, compression=None):
+        out = stored(df, name, compression)
+        if name == "line-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    passage = prose(51, 40)
+    around = [f"{prose(5000 + i, 16)} {passage} {prose(7000 + i, 16)}" for i in range(150)]
+    copies = [x.replace(x.split()[3], "changed") for x in around[:20]]
+    docs = table(spark, [(i, x, "", 0) for i, x in enumerate([*around, *copies])])
+    gone = [r.line_n_removed for r in lines.dedup_lines(docs).orderBy("doc_id").collect()]
+    assert gone == [0] * 150 + [1] * 20
+    assert sum(made) < 170 * 10, made
+
+
+def test_strings_at_fitting_places(spark):
+    """Texts within the limit have a string where an alignment can have it; one passage at other places is not enough."""
+    rows = []
+    for i in range(30):
+        base = prose(600 + i, 60).split()
+        near = [w if j % 6 else w + "é" for j, w in enumerate(base)]
+        rows.append((" ".join(base), " ".join(near[2:] + ["added", "words"]), True))
+        rows.append((" ".join(base[:25] + prose(700 + i, 35).split()), " ".join(prose(800 + i, 35).split() + base[:25]), False))
+    pairs = spark.createDataFrame(rows, "x string, y string, same boolean").withColumn("n", F.greatest(F.char_length("x"), F.char_length("y")))
+    got = pairs.withColumn("limit", F.expr("cast(n div 5 AS int)")).select("same", F.expr(lines.anchored("x", "y", "limit")).alias("at"), (F.levenshtein("x", "y") * 5 <= F.col("n")).alias("d"), lines.similar("x", "y", "n", rare=True).alias("s")).collect()
+    assert all(r.same == r.at == r.d == r.s for r in got)
