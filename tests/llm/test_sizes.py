@@ -120,6 +120,47 @@ def test_large_lists_make_no_rows_of_pairs_that_differ(spark, monkeypatch):
     assert sum(made) < 170 * 10, made
 
 
+def test_copies_of_large_lists_grow_with_the_entries(spark, monkeypatch):
+    """A list that is dealt to several tasks has its rows copied to each: three times the lines are about three times the rows."""
+    monkeypatch.setattr(lines, "SMALL", 4)
+    monkeypatch.setattr(lines, "SPREAD", 1)
+    monkeypatch.setattr(lines, "PAIRS_AN_ENTRY", 10**9)
+    context = spark.sparkContext
+    passage = prose(51, 40)
+
+    def dealt(n):
+        def total():
+            context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+            return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+        docs = table(spark, [(i, f"{prose(5000 + i, 16)} {passage} {prose(7000 + i, 16)}", "", 0) for i in range(n)])
+        before = total()
+        assert lines.dedup_lines(docs).filter("line_n_removed > 0").count() == 0
+        return sum(m for k, m in total().items() if k not in before)
+
+    few, many = dealt(40), dealt(120)
+    assert many < 4.5 * few, (few, many)
+
+
+def test_lines_in_turns_are_the_same(spark, monkeypatch):
+    """What is dealt out in turns links the same lines; no turn's rows are lost or taken twice."""
+    monkeypatch.setattr(lines, "SMALL", 8)
+    monkeypatch.setattr(lines, "PAIRS_AN_ENTRY", 10**9)
+    monkeypatch.setattr(lines, "TURN", 100)
+    monkeypatch.setattr(lines, "TURNS", 2)
+    turned = []
+    in_turns = common.stored_in_turns
+    monkeypatch.setattr(common, "stored_in_turns", lambda frames, name, *a: turned.append(name) or in_turns(frames, name, *a))
+    passage = prose(52, 30)
+    around = [f"{prose(5500 + i, 12)} {passage} {prose(7500 + i, 12)}" for i in range(30)]
+    copies = [x.replace(x.split()[3], "changed") for x in around[:10]]
+    short = ["call number one now", "write a letter home", "call number ones now", "write the letter home!"]
+    docs = table(spark, [(i, x, "", 0) for i, x in enumerate([*around, *copies, *short])])
+    assert [r.line_n_removed for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0] * 30 + [1] * 10 + [0, 0, 1, 1]
+    assert {"line-texts", "line-entries", "line-pairs", "line-open"} <= set(turned)
+
+
 def test_strings_at_fitting_places(spark):
     """Texts within the limit have a string where an alignment can have it; one passage at other places is not enough."""
     rows = []
